@@ -9,6 +9,8 @@ is the sum of the rounds, not nodes times depth.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,36 +31,34 @@ def part_of_links(edges: DataFrame) -> DataFrame:
     return edges.where(rel == "PART_OF").select(clean_path(F.col("source")).alias("child"), clean_path(F.col("target")).alias("parent")).where("child is not null and parent is not null").distinct()
 
 
-def peel(links: DataFrame, up: bool = True) -> tuple[DataFrame, list[DataFrame]]:
-    """Remove leaves (up) or roots (not up) round by round.
+#: Up to so many open rows, several rounds go into one job: a round's own work is then less than starting it.
+_SMALL, _STRIDE = 1_000_000, 3
+
+
+def peel(links: DataFrame, up: bool = True) -> DataFrame:
+    """The links that never come off when leaves (up) or roots (not up) are removed round by round.
 
-    Returns the links that never come off, and each round's removed links.
     A round is one semi-join of the open links with their own other ends.
     """
     near, far = ("child", "parent") if up else ("parent", "child")
-    open_links, n, rounds = cut(links), -1, []
-    n = open_links.count()
+    links = cut(links)
+    n = links.count()
     while n:
-        inner = open_links.select(F.col(far).alias("_end")).distinct()
-        kept = cut(open_links.join(inner, open_links[near] == inner["_end"], "left_semi"))
-        m = kept.count()
+        kept = links
+        for _ in range(_STRIDE if n <= _SMALL else 1):
+            inner = kept.select(F.col(far).alias("_end")).distinct()
+            kept = kept.join(inner, F.col(near) == F.col("_end"), "left_semi")
+        links = cut(kept)
+        m = links.count()
         if m == n:
             break
-        rounds.append(open_links.join(inner, open_links[near] == inner["_end"], "left_anti"))
-        open_links, n = kept, m
-    return open_links, rounds
+        n = m
+    return links
 
 
 def _core(links: DataFrame) -> DataFrame:
-    """Links that lie on circles or between them."""
-    n = -1
-    while True:
-        links, _ = peel(links, up=True)
-        links, _ = peel(links, up=False)
-        m = links.count()
-        if m == n or m == 0:
-            return links
-        n = m
+    """Links that lie on circles or between them: peeling from the top leaves no new leaves below."""
+    return peel(peel(links, up=True), up=False)
 
 
 def on_circles(links: DataFrame) -> DataFrame:
@@ -121,14 +121,21 @@ def hierarchy(links: DataFrame, *, with_path: bool = False, separator: str = " >
     front = roots.select("node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), *path)
     lost = circle.select("node", F.lit("").alias("root"), F.lit(-1).cast("bigint").alias("depth"), *none)
     steps = links.join(circle, links["child"] == circle["node"], "left_anti")  # a circle's own nodes have the circle as their only answer
-    done = []
-    front = cut(front)
-    while not front.isEmpty():
+    steps = cut(steps)
+
+    def below(front: DataFrame) -> DataFrame:
+        further = [F.concat(F.col("path"), F.lit(separator), F.col("child")).alias("path")] if with_path else []
+        nxt = steps.join(front, steps["parent"] == front["node"]).select(F.col("child").alias("node"), "root", (F.col("depth") + 1).alias("depth"), *further)
+        return nxt.groupBy("node", "root", "depth").agg(F.min("path").alias("path")) if with_path else nxt.distinct()
+
+    front, at, done = cut(front), 0, []
+    while n := front.count():
         done.append(front)
-        nxt = steps.join(front, steps["parent"] == front["node"]).select(
-            F.col("child").alias("node"), "root", (F.col("depth") + 1).alias("depth"), *([F.concat(F.col("path"), F.lit(separator), F.col("child")).alias("path")] if with_path else [])
-        )
-        front = cut(nxt.groupBy("node", "root", "depth").agg(F.min("path").alias("path")) if with_path else nxt.distinct())
+        front, stride = front.where(F.col("depth") == at), _STRIDE if n <= _SMALL else 1
+        rounds = [below(front)]
+        for _ in range(stride - 1):
+            rounds.append(below(rounds[-1]))
+        front, at = cut(reduce(DataFrame.unionByName, rounds)), at + stride
     lost = cut(lost)
     seen, new = lost, lost
     while not new.isEmpty():
