@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm import neardup as N
 from marlstone.llm import vectors as V
 from marlstone.runtime import table
 
@@ -23,5 +24,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return V.similar_pairs(vectors, k=10, least=0.90, index=index).select("node_a", F.col("chunk_a").cast("int").alias("chunk_a"), "node_b", F.col("chunk_b").cast("int").alias("chunk_b"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found,)}
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """Each request once; deliveries of one request have one content."""
+    return table(spark, d, "mem_ingest_request").select(F.col("request_id").alias("id"), F.col("content").alias("text"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = N.similar_pairs(_requests(spark, d), q=5, least=0.7, min_chars=80)
+    return pairs.select(F.col("id_a").alias("request_a"), F.col("id_b").alias("request_b"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return N.groups(_requests(spark, d), q=5, least=0.7, min_chars=80).withColumnRenamed("id", "request_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_groups)}
 SQL: dict[str, str] = {}
