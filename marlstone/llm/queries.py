@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import neardup as N
+from marlstone.llm import split as S
 from marlstone.llm import vectors as V
 from marlstone.runtime import table
 
@@ -38,5 +39,30 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return N.groups(_requests(spark, d), q=5, least=0.7, min_chars=80).withColumnRenamed("id", "request_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_groups)}
-SQL: dict[str, str] = {}
+def _oversized(spark: SparkSession, d: str) -> DataFrame:
+    """Current chunks and requests as (src, item_id, part_id, text); texts within the limit travel as nulls, since only the newest row of a key counts."""
+    long = F.when(F.char_length("text") > 1_500, F.col("text")).alias("text")
+    chunks = V.latest_chunks(table(spark, d, "node_chunks").select("node_id", "chunk_idx", F.col("chunk_text").alias("text"), "updated_at").withColumn("text", long), "text")
+    requests = table(spark, d, "mem_ingest_request").select("request_id", F.col("content").alias("text"), "received_at").withColumn("text", long)
+    first = requests.groupBy("request_id").agg(F.min_by(F.struct("text"), "received_at").alias("v"))
+    a = chunks.select(F.lit("node_chunks").alias("src"), F.col("node_id").alias("item_id"), F.col("chunk_idx").cast("bigint").alias("part_id"), "text")
+    b = first.select(F.lit("mem_ingest_request").alias("src"), F.col("request_id").alias("item_id"), F.lit(-1).cast("bigint").alias("part_id"), F.col("v.text").alias("text"))
+    return a.union(b).where("text is not null")
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    got = S.pieces(_oversized(spark, d), most=1_500, overlap=100)
+    return got.select("src", "item_id", F.col("part_id").cast("int").alias("chunk_idx"), "piece_no", "start", "stop", "text")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_pieces(spark, d).select("src", "item_id", "chunk_idx").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_groups, p4_found, p4_pieces)}
+SQL = {
+    "p4_found": """
+SELECT 'node_chunks' AS src, node_id AS item_id, chunk_idx FROM (
+  SELECT node_id, chunk_idx, arg_max(chunk_text, updated_at) AS t FROM node_chunks GROUP BY ALL) WHERE length(t) > 1500
+UNION ALL SELECT DISTINCT 'mem_ingest_request', request_id, -1 FROM mem_ingest_request WHERE length(content) > 1500""",
+}
