@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm import leaks as L
 from marlstone.llm import neardup as N
 from marlstone.llm import split as S
 from marlstone.llm import vectors as V
@@ -59,7 +60,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).select("src", "item_id", "chunk_idx").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_groups, p4_found, p4_pieces)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return L.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "passage"), n=8, run=20)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where("longest_run >= 20").select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where("longest_run >= 20 or score >= 0.5").withColumn("score", F.round("score", 6))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_groups, p4_found, p4_pieces, p7_found, p7_leaks)}
 SQL = {
     "p4_found": """
 SELECT 'node_chunks' AS src, node_id AS item_id, chunk_idx FROM (
