@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import leaks as L
+from marlstone.llm import mixing as M
 from marlstone.llm import neardup as N
+from marlstone.llm import reading as R
 from marlstone.llm import split as S
 from marlstone.llm import vectors as V
-from marlstone.runtime import table
+from marlstone.runtime import cut, table
 
 _KEY = (F.col("node_id").alias("id_a"), F.col("chunk_idx").cast("bigint").alias("id_b"))
 
@@ -72,7 +74,34 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).where("longest_run >= 20 or score >= 0.5").withColumn("score", F.round("score", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_groups, p4_found, p4_pieces, p7_found, p7_leaks)}
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    targets = table(spark, d, "mix_targets")
+    tokens = cut(M.token_counts(table(spark, d, "documents").select("doc_id", "source", "text")))
+    return M.mix(tokens, targets), tokens, targets
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return M.reached(*_mix(spark, d))
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return R.reading_levels(table(spark, d, "documents").select("doc_id", "text", "lang"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_levels(spark, d).where("grade > 13").select("doc_id")
+
+
+def p9_profile(spark: SparkSession, d: str) -> DataFrame:
+    level = F.when(F.col("grade").isNull(), "none").when(F.col("grade") <= 5, "primary").when(F.col("grade") <= 8, "middle").when(F.col("grade") <= 13, "high").otherwise("college")
+    return p9_levels(spark, d).groupBy("lang", level.alias("level")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("n_words"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_groups, p4_found, p4_pieces, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_levels, p9_profile)}
 SQL = {
     "p4_found": """
 SELECT 'node_chunks' AS src, node_id AS item_id, chunk_idx FROM (
