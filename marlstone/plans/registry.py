@@ -33,7 +33,7 @@ WITH RECURSIVE cur AS (
     lower(trim(coalesce(nullif(trim(payload.domain), ''), nullif(payload.character_name, ''), 'general'))) AS domain,
     payload.created_at AS created_at, payload.source AS source, payload.source_path AS source_path, payload.title AS title, payload.chunk_index AS chunk_index,
     payload.valid_at AS valid_at, payload.invalid_at AS invalid_at, payload.expired_at AS expired_at, payload.linked_from AS linked_from,
-    coalesce(payload.hit_count, 0) AS hit_count, payload.meta AS meta, stored_at
+    coalesce(payload.hit_count, 0) AS hit_count, payload.meta AS meta, payload.character_name AS character_name, stored_at
   FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stored_at DESC) AS n FROM nodes WHERE deleted_at IS NULL) WHERE n = 1),
 raw_ed AS (
   SELECT nullif(regexp_replace(replace(regexp_replace(source, '^\s+|\s+$', '', 'g'), '\', '/'), '^\./', ''), '') AS src,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import expr as E
+from marlstone.operators.ranking import global_place
 from marlstone.plans.registry import VIEWS, Registry
 from marlstone.runtime import table
 from marlstone.sources import store as S
@@ -86,8 +87,8 @@ def s18_import_ids(spark: SparkSession, d: str) -> DataFrame:
     """New ids for imported nodes after the largest there is, with each node's issue."""
     n = S.nodes(spark, d)
     issue = F.when(F.trim("content") == "", "empty_content").when(F.col("content").rlike("sk-[A-Za-z0-9]{16,}"), "secret").otherwise("ok")
-    pack = n.where("type = 'plan'")
-    return pack.join(F.broadcast(n.agg(F.max("id").alias("top")))).select(F.col("id").alias("pack_id"), (F.col("top") + F.row_number().over(Window.orderBy("id"))).alias("id"), issue.alias("issue"))
+    pack = global_place(n.where("type = 'plan'").select("id", "content"), "id")
+    return pack.join(F.broadcast(n.agg(F.max("id").alias("top")))).select(F.col("id").alias("pack_id"), (F.col("top") + F.col("place")).alias("id"), issue.alias("issue"))
 
 
 @R.add("SELECT id, list_sort(list_distinct(list_concat(map_keys(coalesce(meta, MAP {})), ['reviewed']))) AS keys FROM cur WHERE type = 'memory'")
@@ -314,7 +315,7 @@ def a25_cube(spark: SparkSession, d: str) -> DataFrame:
 @R.add("SELECT id, row_number() OVER (ORDER BY importance DESC, id) - 1 AS place FROM cur WHERE type = 'decision'")
 def w1_rank(spark: SparkSession, d: str) -> DataFrame:
     n = S.nodes(spark, d).where("type = 'decision'")
-    return n.select("id", (F.row_number().over(Window.orderBy(F.desc("importance"), "id")) - 1).cast("bigint").alias("place"))
+    return global_place(n.select("id", "importance"), F.desc("importance"), F.asc("id")).select("id", (F.col("place") - 1).alias("place"))
 
 
 @R.add("SELECT dst, src, weight FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src, label) AS r FROM ed) WHERE r = 1")
@@ -350,7 +351,7 @@ def w9_split(spark: SparkSession, d: str) -> DataFrame:
     """The oldest four fifths of the questions to tune on."""
     q = table(spark, d, "temporal_state").groupBy("qid").agg(F.min("created_at").alias("t"))
     n = q.agg(F.count(F.lit(1)).alias("n"))
-    r = q.withColumn("r", F.row_number().over(Window.orderBy("t", "qid"))).join(F.broadcast(n))
+    r = global_place(q, "t", "qid", name="r").join(F.broadcast(n))
     return r.select("qid", F.when(F.col("r") <= F.floor(0.8 * F.col("n")), "tune").otherwise("test").alias("part"))
 
 

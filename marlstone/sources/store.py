@@ -25,7 +25,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
         E.status(p("status")).alias("status"), p("status").alias("raw_status"), p("domain").alias("raw_domain"), E.node_domain(p("domain"), p("character_name")).alias("domain"),
         p("created_at").alias("created_at"), p("source").alias("source"), p("source_path").alias("source_path"), p("title").alias("title"), p("chunk_index").alias("chunk_index"),
         p("valid_at").alias("valid_at"), p("invalid_at").alias("invalid_at"), p("expired_at").alias("expired_at"), p("linked_from").alias("linked_from"),
-        F.coalesce(p("hit_count"), F.lit(0)).alias("hit_count"), p("meta").alias("meta"), "stored_at",
+        F.coalesce(p("hit_count"), F.lit(0)).alias("hit_count"), p("meta").alias("meta"), p("character_name").alias("character_name"), "stored_at",
     )
 
 
