@@ -90,7 +90,7 @@ _KEY_TYPES = "src string, item_id bigint, part_id bigint"
 def table_ranges(items: DataFrame, *, most: int, length: int = RANGE) -> DataFrame:
     """Ranges of items (src, item_id, part_id, text) longer than `most` characters: range_no, before, own, text with halo, total."""
     n = F.char_length("text")
-    long = items.where("text is not null").where(n > most).select(*_KEYS, "text", n.cast("bigint").alias("total"))
+    long = items.where("text is not null and src is not null and item_id is not null and part_id is not null").where(n > most).select(*_KEYS, "text", n.cast("bigint").alias("total"))
     cut_up = long.select(*_KEYS, "total", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("total") - 1) / length))).alias("range_no"))
     start = F.col("range_no") * length
     before = F.least(F.lit(_EDGE), start)
@@ -165,7 +165,7 @@ def pieces(items: DataFrame, *, most: int = 1_500, overlap: int = 100, length: i
     line or sentence end, else between words, else at its full length, and
     repeats at most `overlap` characters of the one before. Pieces without
     their repeated beginnings give the text again. Nulls, empty texts and
-    texts of at most `most` characters give no rows.
+    texts of at most `most` characters give no rows, nor do rows with a null key.
     """
     if not 0 <= overlap < most // 2 or most + overlap > length:
         raise ValueError("overlap must be under half of most, and most under a range's length")
