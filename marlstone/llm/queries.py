@@ -13,14 +13,13 @@ from marlstone.llm import split as S
 from marlstone.llm import vectors as V
 from marlstone.runtime import cut, table
 
-_KEY = (F.col("node_id").alias("id_a"), F.col("chunk_idx").cast("bigint").alias("id_b"))
-
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
     """The current chunks' vectors, and the lists fitted on a sample of the raw rows."""
     raw = table(spark, d, "node_chunks").select("node_id", "chunk_idx", "vector", "dim", "model", "updated_at")
-    index = V.build_index(raw.select(*_KEY, "model", "vector", "dim"))
-    return V.latest_chunks(raw, "vector", "dim", "model").select(*_KEY, "model", "vector", "dim"), index
+    key = (F.col("node_id").alias("id_a"), F.col("chunk_idx").cast("bigint").alias("id_b"))
+    index = V.build_index(raw.select(*key, "model", "vector", "dim"))
+    return V.latest_chunks(raw, "vector", "dim", "model").select(*key, "model", "vector", "dim"), index
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 FIT_DOCS, FIT_PAIRS = 4_000, 20_000
 _FENCE = r"(?s)(?:^|(?<=\n))[ \t]*(```|~~~).*?(?:\n[ \t]*\1[^\n]*|\z)"
 #: Lines that are no prose. Headings, list items, table rows, log lines, lines with code in them, JSON, indented code.
-_NO_PROSE = r"(?m)^(?:[ \t]*(?:#{1,6}[ \t].*|[-*+•][ \t].*|\(?\d{1,3}[.)][ \t].*|\|.*|={3,}|-{3,}|\[?\d{4}-\d\d-\d\d[ T]\d\d:\d\d.*|.*`[^`\n]+`.*|[{}\[\]<>].*|\S{1,200}[ \t]*[=:]=?[ \t]*\S{1,200}[;,]?|(?:def|class|import|from|return|if|for|while|SELECT|INSERT)\b.*[:;)])|(?: {4}|\t).*)$"
+_NO_PROSE = r"(?m)^(?:[ \t]*(?:#{1,6}[ \t].*|[-*+•][ \t].*|\(?\d{1,3}[.)][ \t].*|\|.*|={3,}|-{3,}|\[?\d{4}-\d\d-\d\d[ T]\d\d:\d\d.*|.*`[^`\n]+`.*|[{}\[\]<].*|\S{1,200}[ \t]*[=:]=?[ \t]*\S{1,200}[;,]?|(?:def|class|import|from|return|if|for|while|SELECT|INSERT)\b.*[:;)])|(?: {4}|\t).*)$"
 _WORDS = r"[A-Za-z][A-Za-z'’]*"
 
 
