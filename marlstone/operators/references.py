@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: An end that no time reaches, for parents that are still there.
-_OPEN = F.lit("9999-12-31 23:59:59").cast("timestamp_ntz")
+_OPEN = "9999-12-31 23:59:59"
 
 
 def digit_runs(text: Column) -> Column:
@@ -50,7 +50,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, *, hot_rows: int = 20
     """
     r = refs.select("ref_table", "ref_key", "ref_field", "ref_id", F.col("t").cast("timestamp_ntz").alias("t")).where("ref_id is not null").distinct()
     p = (
-        parents.select("id", F.col("stored_at").cast("timestamp_ntz").alias("stored_at"), F.coalesce(F.col("deleted_at").cast("timestamp_ntz"), _OPEN).alias("ends"))
+        parents.select("id", F.col("stored_at").cast("timestamp_ntz").alias("stored_at"), F.coalesce(F.col("deleted_at").cast("timestamp_ntz"), F.lit(_OPEN).cast("timestamp_ntz")).alias("ends"))
         .where("id is not null and stored_at is not null")
         .groupBy("id", "stored_at")
         .agg(F.max("ends").alias("ends"))

@@ -14,7 +14,6 @@ from marlstone.sources import store as S
 R = Registry(VIEWS)
 #: The instant that stands for now in all queries (2026-09-21 14:13:20 UTC).
 NOW = 1_790_000_000.0
-_DAY = F.date_format("stored_at", "yyyy-MM-dd HH:mm:ss")
 
 
 @R.add("SELECT id, type, importance, status, domain, strlen(content) AS bytes FROM cur")
