@@ -146,4 +146,4 @@ def reached(selection: DataFrame, tokens: DataFrame, targets: DataFrame) -> Data
     per_doc = selection.groupBy("mix_name", "source", "doc_id").agg(F.count(F.lit(1)).alias("uses"), F.sum("n_tokens").alias("tokens"))
     got = per_doc.groupBy("mix_name", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("uses").alias("n_uses"), F.max("uses").alias("most_repeats"), F.sum("tokens").alias("tokens"))
     report = quotas(tokens.where("source is not null"), targets).select("mix_name", "source", "target_share", F.col("share").alias("share_asked"), "max_repeats").join(got, ["mix_name", "source"], "left").na.fill(0, ["n_docs", "n_uses", "most_repeats", "tokens"])
-    return report.withColumn("share_reached", F.round(F.col("tokens") / F.sum("tokens").over(Window.partitionBy("mix_name")), 6)).withColumn("share_asked", F.round("share_asked", 6))
+    return report.withColumn("share_reached", F.round(F.coalesce(F.try_divide("tokens", F.sum("tokens").over(Window.partitionBy("mix_name"))), F.lit(0.0)), 6)).withColumn("share_asked", F.round("share_asked", 6))

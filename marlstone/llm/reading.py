@@ -3,9 +3,9 @@
 A linear ranker over features of syntax and vocabulary learns, from pairs of
 graded documents, which of two asks for more schooling; isotonic regression then
 turns its scores into years. The grades of the fitting sample are the median of
-five published readability formulas. Documents are scored in the JVM: features
-are counts of patterns over the running prose, the ranker one weighted sum
-and the calibration one step through its knots.
+five published readability formulas. Texts stay in the JVM, where patterns are
+counted over the running prose; only the nine counts a document go to Python,
+in batches, to be weighted and calibrated.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,14 +59,15 @@ _COUNTS = ["n_words", "n_sentences", "n_letters", "n_syllables", "n_long", "n_si
 FEATURES = ["log_sentence", "sentence", "syllables", "letters", "long", "six", "links", "nouns", "commas"]
 
 
-def features(c) -> dict:
-    """Features per word or sentence, from counts as Columns or arrays; `log1p` differs between the two."""
-    log = F.log1p if isinstance(c["n_words"], Column) else np.log1p
-    words = c["n_words"] + 1e-9
-    return {
-        "log_sentence": log(c["n_words"] / c["n_sentences"]), "sentence": c["n_words"] / c["n_sentences"] / 10, "syllables": c["n_syllables"] / words, "letters": c["n_letters"] / words / 3,
-        "long": c["n_long"] / words * 3, "six": c["n_six"] / words * 3, "links": c["n_links"] / c["n_sentences"], "nouns": c["n_nouns"] / words * 5, "commas": c["n_commas"] / c["n_sentences"],
-    }
+def features(c: dict[str, np.ndarray]) -> np.ndarray:
+    """Features (documents x FEATURES) per word or sentence, from counts."""
+    words, sentences = np.maximum(c["n_words"], 1.0), np.maximum(c["n_sentences"], 1.0)
+    return np.stack(
+        [
+            np.log1p(words / sentences), words / sentences / 10, c["n_syllables"] / words, c["n_letters"] / words / 3,
+            c["n_long"] / words * 3, c["n_six"] / words * 3, c["n_links"] / sentences, c["n_nouns"] / words * 5, c["n_commas"] / sentences,
+        ], 1,
+    )
 
 
 def formula_grades(c: dict) -> np.ndarray:
@@ -89,18 +91,12 @@ class Ranker:
     knots: list[tuple[float, float]]
     held_out: float
 
-    def score(self, c: dict) -> Column:
-        f = features(c)
-        return sum((F.lit(float(w)) * f[n] for n, w in zip(FEATURES, self.weights)), F.lit(0.0))
+    def score(self, c: dict[str, np.ndarray]) -> np.ndarray:
+        return features(c) @ self.weights
 
-    def grade(self, score: Column) -> Column:
-        """Linear between knots, level beyond the first, and on at the last slope's pace beyond the last."""
-        (x0, y0), out = self.knots[0], None
-        grade = F.when(score <= x0, F.lit(y0))
-        for (a, ya), (b, yb) in zip(self.knots, self.knots[1:]):
-            grade = grade.when(score <= b, F.lit(ya) + (score - a) * ((yb - ya) / (b - a)))
-        out = grade.otherwise(F.lit(self.knots[-1][1]))
-        return out
+    def grade(self, score: np.ndarray) -> np.ndarray:
+        """Linear between knots, level beyond the ends."""
+        return np.interp(score, [k[0] for k in self.knots], [k[1] for k in self.knots])
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
@@ -130,7 +126,7 @@ def fit(c: dict[str, np.ndarray], *, pairs: int = FIT_PAIRS, seed: int = 5) -> R
     that the ranker puts in the right order.
     """
     rng = np.random.default_rng(seed)
-    x = np.stack([np.asarray(v, float) for v in (features(c)[n] for n in FEATURES)], 1)
+    x = features(c)
     y = formula_grades(c)
     test = rng.random(len(y)) < 0.2
 
@@ -183,6 +179,14 @@ def reading_levels(documents: DataFrame, *, ranker: Ranker | None = None, fit_do
     ranker = fit_on(english, fit_docs=fit_docs) if ranker is None else ranker
     own = F.when(F.col("lang") == "en", prose(F.col("text")))
     parts = documents.select("doc_id", "lang", own.alias("p")).select("doc_id", "lang", *[v.alias(k) for k, v in counts(F.col("p")).items()])
-    has = F.col("n_words") > 0
-    scored = parts.withColumn("score", F.when(has, ranker.score({k: F.col(k) for k in _COUNTS})))
-    return scored.select("doc_id", "lang", "n_words", "score", F.when(has, ranker.grade(F.col("score"))).alias("grade"))
+
+    @F.pandas_udf("score double, grade double")
+    def judge(*columns: pd.Series) -> pd.DataFrame:
+        c = {k: v.to_numpy(float, na_value=0.0) for k, v in zip(_COUNTS, columns)}
+        score = ranker.score(c)
+        some = c["n_words"] > 0
+        return pd.DataFrame({"score": np.where(some, score, np.nan), "grade": np.where(some, ranker.grade(score), np.nan)})
+
+    judged = parts.withColumn("j", judge(*[F.col(k) for k in _COUNTS]))
+    plain = lambda c: F.when(~F.isnan(c), c)
+    return judged.select("doc_id", "lang", "n_words", plain(F.col("j.score")).alias("score"), plain(F.col("j.grade")).alias("grade"))

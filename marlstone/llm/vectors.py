@@ -184,7 +184,7 @@ def _spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(29)
-        return (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)
+        return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)).astype(np.int64)
 
 
 def _drop_surplus(a: np.ndarray, b: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
