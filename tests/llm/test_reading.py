@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from marlstone.llm import reading as R
 
@@ -59,10 +58,11 @@ def test_isotonic_against_brute_force():
     assert {round(k[1], 9) for k in knots} == {round(b, 9) for b in best}
 
 
-def test_counts_agree_with_plain_python(spark):
-    got = spark.createDataFrame([("He came, although it rained! Was it due to organisation? The table fell.",)], "t string").select(*[v.alias(k) for k, v in R.counts(F.col("t")).items()]).first()
-    assert (got.n_words, got.n_sentences, got.n_links, got.n_commas, got.n_nouns) == (13, 3, 1, 1, 1)
-    assert got.n_long == 1
+def test_counts_by_hand():
+    got = R.counts(["He came, although it rained! Was it due to organisation? The table fell.", None, "", "no mark"])
+    assert got["n_words"].tolist() == [13, 0, 0, 2] and got["n_sentences"].tolist() == [3, 0, 0, 1]
+    assert (got["n_links"][0], got["n_commas"][0], got["n_nouns"][0], got["n_long"][0], got["n_six"][0]) == (1, 1, 1, 1, 2)
+    assert R._word("came")[1] == 1 and R._word("table")[1] == 2 and R._word("the")[1] == 1 and R._word("organisation")[1] == 5
 
 
 def test_held_out_order():
