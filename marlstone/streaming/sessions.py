@@ -84,7 +84,8 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         else:
             changed += 1
     state.update((last, n, changed))
-    state.setTimeoutDuration(1_800_000)
+    newest = int(rows["received_at"].max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(newest + 1_800_000, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame([(key[0], last, n, changed)], columns=["session_id", "last", "n_turns", "n_changed"])
 
 
@@ -93,10 +94,11 @@ def session_buffer(turns: DataFrame) -> DataFrame:
 
     A missing or non-positive index goes after the last one; an index that is
     not beyond the last counts as a change of a turn. The state of a session is
-    three numbers and is given up after half an hour without turns.
+    three numbers and is given up when the watermark is half an hour past its
+    last turn.
     """
-    t = turns.select("session_id", "turn_index", "request_id", "received_at").where("session_id is not null")
-    return t.groupBy("session_id").applyInPandasWithState(_fold, _OUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    t = turns.select("session_id", "turn_index", "request_id", F.col("received_at").cast("timestamp").alias("received_at")).where("session_id is not null and received_at is not null").withWatermark("received_at", "1 hour")
+    return t.groupBy("session_id").applyInPandasWithState(_fold, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def count_into(stream: DataFrame, *, key: str, path: str, checkpoint: str, every: str = "30 seconds", once: bool = False):
