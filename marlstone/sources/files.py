@@ -18,13 +18,14 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def markdown_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, modified, content) of every .md file below root, front matter taken off; one row a file, read where it lies."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
-    return raw.select("path", F.col("modificationTime").alias("modified"), E.strip_front_matter(F.decode("content", F.lit("UTF-8"))).alias("content"))
+    return raw.select("path", F.col("modificationTime").alias("modified"), E.strip_front_matter(F.decode("content", "UTF-8")).alias("content"))
 
 
 def tree_changes(found: DataFrame, known: DataFrame) -> DataFrame:
     """(path, change): new, changed or gone, from the modification times of found and known (path, modified)."""
-    j = found.select("path", F.col("modified").alias("a")).join(known.select("path", F.col("modified").alias("b")), "path", "full_outer")
-    change = F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "gone").when(F.col("a") != F.col("b"), "changed")
+    here = lambda df, c: df.select("path", F.struct("modified").alias(c))
+    j = here(found, "a").join(here(known, "b"), "path", "full_outer")
+    change = F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "gone").when(~F.col("a.modified").eqNullSafe(F.col("b.modified")), "changed")
     return j.select("path", change.alias("change")).where("change is not null")
 
 
@@ -43,11 +44,11 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 _PACK = "format string, format_version int, manifest struct<name: string, node_total: long>, nodes array<struct<node_id: long, payload: map<string, string>>>, edges array<struct<source_id: long, target_id: long, label: string, weight: double>>"
 
 
-def pack_verdict(spark: SparkSession, path: str) -> DataFrame:
+def pack_verdict(spark: SparkSession, path: str, format_name: str) -> DataFrame:
     """(path, code) of pack files: ok, not_json, not_a_pack, unsupported_version or malformed."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", _PACK).alias("p"), F.try_parse_json("value").alias("v"))
     code = (
-        F.when(F.col("v").isNull(), "not_json").when(F.coalesce(F.col("p.format"), F.lit("")) != "memoryhub", "not_a_pack")
+        F.when(F.col("v").isNull(), "not_json").when(F.coalesce(F.col("p.format"), F.lit("")) != format_name, "not_a_pack")
         .when(F.coalesce(F.col("p.format_version"), F.lit(0)) != 1, "unsupported_version").when(F.col("p.nodes").isNull(), "malformed").otherwise("ok")
     )
     return raw.select("path", code.alias("code"))
