@@ -27,6 +27,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return V.similar_pairs(vectors, k=10, least=0.90, index=index).select("node_a", F.col("chunk_a").cast("int").alias("chunk_a"), "node_b", F.col("chunk_b").cast("int").alias("chunk_b"))
 
 
+def p1_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar chunks of every chunk of the nodes whose id is divisible by 100, among all chunks."""
+    vectors, index = _vectors(spark, d)
+    got = V.most_similar(vectors, k=10, queries=F.col("id_a") % 100 == 0, probes=16, index=index)
+    return got.select(F.col("q_a").alias("node_id"), F.col("q_b").cast("int").alias("chunk_idx"), "rank", F.col("d_a").alias("near_node"), F.col("d_b").cast("int").alias("near_chunk"), F.round("cosine", 5).alias("cosine"))
+
+
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    """What the lists lose of p1_similar, against all rows in blocks."""
+    vectors, index = _vectors(spark, d)
+    asked = F.col("id_a") % 100 == 0
+    return V.recall(V.most_similar(vectors, k=10, queries=asked, probes=16, index=index), V.exact_similar(vectors, k=10, queries=asked))
+
+
 def _requests(spark: SparkSession, d: str) -> DataFrame:
     """Each request once; deliveries of one request have one content."""
     return table(spark, d, "mem_ingest_request").select(F.col("request_id").alias("id"), F.col("content").alias("text"))
@@ -100,7 +114,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return p9_levels(spark, d).groupBy("lang", level.alias("level")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_groups, p4_found, p4_pieces, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_levels, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p1_recall, p3_found, p3_groups, p4_found, p4_pieces, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_levels, p9_profile)}
 SQL = {
     "p4_found": """
 SELECT 'node_chunks' AS src, node_id AS item_id, chunk_idx FROM (

@@ -338,6 +338,38 @@ def most_similar(vectors: DataFrame, *, k: int = 10, least: float | None = None,
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for dim in set(batch["dim"].to_pylist()):
+            part = batch.filter(pa.array(np.array(batch["dim"].to_pylist()) == dim))
+            raw = _unit(part["vector"].flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim))
+            yield pa.RecordBatch.from_arrays([part["model"], part["id_a"], part["id_b"], part["is_query"], pa.array([r.tobytes() for r in raw], pa.binary())], names=["model", "id_a", "id_b", "is_query", "v"])
+
+
+def exact_similar(vectors: DataFrame, *, k: int = 10, queries: Column, query_block: int = 4_096, data_block: int = 16_384) -> DataFrame:
+    """As most_similar, by comparing a stated set of queries with all rows, block by block; the measure of what the lists lose."""
+    base = vectors.where("id_a is not null and id_b is not null").where(usable(F.col("vector"), F.col("dim"))).select(_space().alias("model"), F.col("id_a").cast("bigint").alias("id_a"), F.col("id_b").cast("bigint").alias("id_b"), F.coalesce(queries, F.lit(False)).alias("is_query"), "dim", F.col("vector").cast("array<float>").alias("vector"))
+    n, asked = base.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
+    nq, nd = max(1, -(-asked // query_block)), max(1, -(-n // data_block))
+    unit = base.mapInArrow(_units, "model string, id_a bigint, id_b bigint, is_query boolean, v binary")
+    own = lambda m, salt: F.pmod(F.xxhash64("id_a", "id_b", F.lit(salt)), F.lit(m)).cast("int")
+    data = unit.select("model", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("q"), own(nd, 1).alias("d"), F.lit(_DATA).cast("tinyint").alias("role"), "id_a", "id_b", "v")
+    query = unit.where("is_query").select("model", own(nq, 2).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(nd - 1))).alias("d"), F.lit(_QUERY).cast("tinyint").alias("role"), "id_a", "id_b", "v")
+    hits = data.union(query).groupBy("model", "q", "d").applyInArrow(_meet(k, None), "q_a bigint, q_b bigint, d_a bigint, d_b bigint, cosine double")
+    rank = F.row_number().over(Window.partitionBy("q_a", "q_b").orderBy(F.desc("cosine"), "d_a", "d_b"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def recall(found: DataFrame, exact: DataFrame, *, close: float = 0.90) -> DataFrame:
+    """(n_queries, n_pairs, recall, n_close, recall_close): the share of exact neighbours that were found, of all and of those of at least the cosine `close`."""
+    j = exact.select("q_a", "q_b", "d_a", "d_b", "cosine").join(found.select("q_a", "q_b", "d_a", "d_b", F.lit(1).alias("hit")), ["q_a", "q_b", "d_a", "d_b"], "left")
+    near, hit = F.col("cosine") >= close, F.coalesce("hit", F.lit(0))
+    return j.agg(
+        F.count_distinct("q_a", "q_b").alias("n_queries"), F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg(hit), 6).alias("recall"),
+        F.count_if(near).alias("n_close"), F.round(F.avg(F.when(near, hit)), 6).alias("recall_close"),
+    )
+
+
 def similar_pairs(vectors: DataFrame, *, k: int = 10, least: float = 0.90, **how) -> DataFrame:
     """(node_a, chunk_a, node_b, chunk_b, cosine): pairs of which one is among the k most similar of the other, smaller key first."""
     nn = most_similar(vectors, k=k, least=least, **how)

@@ -68,6 +68,19 @@ def test_walk_finds_nearest_centroids():
     assert np.bincount(np.argmax(x @ lists.centroids.T, axis=1), minlength=500).max() < 10 * 16
 
 
+def test_blocks_are_exact_and_recall_counts(spark, monkeypatch):
+    data = rows(near_pairs(400)) + rows(near_pairs(40, 2, 8), "other", 10_000)
+    df, asked = spark.createDataFrame(data, SCHEMA), F.col("id_a") % 10 == 0
+    exact = V.exact_similar(df, k=5, queries=asked, query_block=16, data_block=64)
+    got = {}
+    for r in exact.collect():
+        got.setdefault((r.q_a, r.q_b), set()).add((r.d_a, r.d_b))
+    want = brute(data, 5)
+    assert got == {q: want[q] for q in want if q[0] % 10 == 0}
+    r = V.recall(exact.where("rank <= 4"), exact).first()
+    assert r.n_queries == 55 and r.recall == 0.8 and r.recall_close == 1.0
+
+
 def test_unusable_vectors_and_nulls(spark):
     nan = float("nan")
     data = [(1, 0, "m", [1.0, 0.0], 2, 0, ""), (2, 0, "m", [2.0, 0.0], 2, 0, ""), (3, 0, "m", [0.0, 0.0], 2, 0, ""), (4, 0, "m", None, 2, 0, ""), (5, 0, "m", [1.0], 2, 0, ""), (6, 0, "m", [nan, 1.0], 2, 0, ""), (None, 0, "m", [1.0, 0.0], 2, 0, ""), (7, 0, None, [1.0, 0.0], 2, 0, ""), (8, 0, None, [1.0, 0.1], 2, 0, ""), (9, 0, "alone", [1.0, 0.0], 2, 0, ""), (10, 0, "m", [None, 1.0], 2, 0, ""), (11, 0, "m", [1.0, 0.0], None, 0, "")]
