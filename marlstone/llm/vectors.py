@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of the fitting sample per model at most; with LEAST_FIT sample rows a list, it bounds the centroids that are broadcast.
-FIT_ROWS, LEAST_FIT = 32_768, 8
+FIT_ROWS, LEAST_FIT = 16_384, 8
 #: Vectors a list holds before replication; rows of a tile's block.
 LIST_ROWS, BLOCK_ROWS = 256, 4_096
 
