@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import expr as E
 
 #: Pivots of a similarity join, drawn by a hash of the id; what is broadcast is at most so many vectors.
-PIVOTS, CELL_BLOCK = 256, 2_048
+PIVOTS, CELL_BLOCK = 64, 2_048
 
 
 def nearest(rows: DataFrame, query: list[float], k: int, *, least: float | None = None) -> DataFrame:
