@@ -2,9 +2,11 @@
 
 One pass over the corpus finds every n-gram of words that also occurs in a
 passage. How many documents hold each is counted over the whole corpus, and of
-every stretch of a passage the rarest n-grams become seeds: any shared run of
-`run` words holds a seed, so exact copies are never missed, while phrases that
-half the corpus uses lead to few comparisons. Documents joined to items by seeds
+every stretch of a passage the rarest n-grams that any document holds become
+seeds, and so do all that few documents hold: any shared run of `run` words
+holds a seed, so exact copies are never missed, and an edited copy needs one
+n-gram that few documents share, while phrases that half the corpus uses lead
+to few comparisons. Documents joined to items by seeds
 are aligned by Smith-Waterman over words, which scores edited copies, and the
 longest run they share is measured.
 """
@@ -30,6 +32,8 @@ _BASE = 0x9E3779B97F4A7C15
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: An n-gram is a seed if it is in at most so many times the documents of the rarest one of a run that holds it: edited copies lack some.
 RARE = 2
+#: An n-gram in at most so many documents is a seed whatever the others of its run are.
+FEW = 24
 
 
 def words(text: str | None) -> list[str]:
@@ -151,8 +155,8 @@ def leaks(documents: DataFrame, items: DataFrame, *, n: int = 8, run: int = 20,
         ahead, behind = order.rowsBetween(0, run - n), order.rowsBetween(n - run, 0)  # the n-grams of one run of words from here, and the runs that hold this n-gram
         last = F.max("pos").over(Window.partitionBy("item_id"))
         whole = (F.col("pos") + run - n <= F.col("last")) | (F.col("pos") == 0)
-        rarest = counted.withColumn("last", last).withColumn("least", F.when(whole, F.min("n_docs").over(ahead)))
-        seeds = rarest.withColumn("bar", F.max("least").over(behind)).where(F.col("n_docs") <= RARE * F.col("bar")).select("item_id", "gram").distinct()
+        rarest = counted.withColumn("last", last).withColumn("least", F.when(whole, F.min(F.when(F.col("n_docs") > 0, F.col("n_docs"))).over(ahead)))  # n-grams that no document holds say nothing of those that one does
+        seeds = rarest.withColumn("bar", F.max("least").over(behind)).where((F.col("n_docs") > 0) & ((F.col("n_docs") <= FEW) | (F.col("n_docs") <= RARE * F.col("bar")))).select("item_id", "gram").distinct()
         pairs = in_docs.join(seeds, "gram").select("doc_id", "item_id").distinct()
         text = hits.select("doc_id", "text").dropDuplicates(["doc_id"])
         scored = pairs.join(text, "doc_id").join(spark.createDataFrame([(r["item_id"], r["passage"]) for r in block], its.schema).dropDuplicates(["item_id"]), "item_id")

@@ -76,3 +76,20 @@ def test_empty_tables_and_blocks_of_items(spark):
     q = spark.createDataFrame([(i, p, "") for i, p in passages], ITEM)
     got = {(r.doc_id, r.item_id) for r in L.leaks(d, q, item_chars=300).collect() if r.longest_run >= 20}
     assert got == {(i, i) for i in range(6)}
+
+
+def test_edited_copies_without_a_verbatim_one(spark):
+    rng = random.Random(8)
+    passages = {i: [rng.choice(VOCABULARY) for _ in range(60)] for i in (12, 15, 20)}
+    docs = [(i, " ".join(w if j % i else "zzz" for j, w in enumerate(p))) for i, p in passages.items()]
+    got = run(spark, docs, [(i, " ".join(p)) for i, p in passages.items()])
+    assert set(got) == {(12, 12), (15, 15), (20, 20)}
+    assert all(r.longest_run < 20 and r.score > 0.7 for r in got.values())
+
+
+def test_an_edited_copy_beside_rarer_ngrams(spark):
+    rng = random.Random(9)
+    p = [rng.choice(VOCABULARY) for _ in range(28)]
+    head, tail = " ".join(p[:12]) + " qqq", "zzz " + " ".join(p[12:])
+    docs = [(i, head) for i in range(5)] + [(9, tail)]  # each n-gram of the head is in five documents, of the tail in one
+    assert {d for d, _ in run(spark, docs, [(1, " ".join(p))])} == {0, 1, 2, 3, 4, 9}
