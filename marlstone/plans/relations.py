@@ -265,6 +265,16 @@ def _causes(spark: SparkSession, d: str) -> DataFrame:
 R.queries["g7_components"] = _causes
 
 
+@R.add("""
+, und AS (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed),
+low(id, component) USING KEY (id) AS (SELECT a, min(a) FROM und GROUP BY a
+  UNION SELECT u.b, min(c.component) FROM low c JOIN und u ON u.a = c.id JOIN recurring.low r ON r.id = u.b WHERE c.component < r.component GROUP BY u.b)
+SELECT id, component FROM low""")
+def g7_all_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components over the edges of all labels; g7_components has those of CAUSES alone."""
+    return G.components(S.edges(spark, d))
+
+
 @R.add("SELECT id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM ed UNION ALL SELECT dst, 0, 1 FROM ed) GROUP BY id")
 def g8_degrees(spark: SparkSession, d: str) -> DataFrame:
     return G.degrees(S.edges(spark, d))

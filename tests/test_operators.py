@@ -13,6 +13,7 @@ from marlstone.operators import quality as Q
 from marlstone.operators import tql
 from marlstone.operators import vector as V
 from marlstone.operators.ranking import global_lead, global_place
+from marlstone.plans import relations
 from marlstone.sources import files
 
 
@@ -39,6 +40,13 @@ def test_components_of_a_long_chain(spark):
     assert {r.component for r in got} == {0} and len(got) == 200
 
 
+def test_all_components_cover_every_label(spark, tmp_path):
+    rows = [("a.md", "b.md", "CAUSES"), ("b.md", "c.md", "NEXT"), ("d.md", "e.md", "WIKI_LINK"), ("f.md", "e.md", "PART_OF"), ("g.md", "h.md", "CAUSES")]
+    spark.createDataFrame([(*r, 1.0) for r in rows], "source string, target string, relation string, weight double").write.parquet(f"{tmp_path}/graph_edges.parquet")
+    got = {r.id: r.component for r in relations.QUERIES["g7_all_components"](spark, str(tmp_path)).collect()}
+    assert got == {**dict.fromkeys(("a.md", "b.md", "c.md"), "a.md"), **dict.fromkeys(("d.md", "e.md", "f.md"), "d.md"), **dict.fromkeys(("g.md", "h.md"), "g.md")}
+
+
 def test_paths(spark):
     got = {r.id: (r.hops, r.path) for r in G.shortest_paths(edges(spark, RING), 0, most=5).collect()}
     assert got == {0: (0, [0]), 1: (1, [0, 1]), 3: (1, [0, 3]), 2: (2, [0, 1, 2]), 4: (2, [0, 3, 4])}
