@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,20 +113,22 @@ def label_propagation(edges: DataFrame, *, rounds: int = 5) -> DataFrame:
     return lab
 
 
-def shortest_paths(edges: DataFrame, start, *, most: int, relation: str | None = None) -> DataFrame:
-    """(id, hops, path): a shortest path to every node within `most` hops, the smallest in order among equals."""
+def shortest_paths(edges: DataFrame, start, *, most: int | None = None, relation: str | None = None) -> DataFrame:
+    """(id, hops, path): a shortest path to every node within `most` hops (all that can be reached without it), the smallest in order among equals."""
     e = edges if relation is None else edges.where(F.col("label") == relation)
     e = e.select("src", "dst").distinct()
     key = dict(edges.dtypes)["src"]
     front = edges.sparkSession.createDataFrame([(start, 0, [start])], f"id {key}, hops int, path array<{key}>")
     out = front
-    for hop in range(1, most + 1):
+    for hop in count(1) if most is None else range(1, most + 1):
         step = front.join(e, front["id"] == e["src"]).groupBy("dst").agg(F.min("path").alias("p"))
         step = step.select(F.col("dst").alias("id"), F.lit(hop).alias("hops"), F.concat("p", F.array("dst")).alias("path")).join(out.select("id"), "id", "left_anti")
         front = cut(step)
         if front.isEmpty():
             break
         out = out.union(front)
+        if hop % 32 == 0:
+            out = cut(out)
     return out
 
 

@@ -1,0 +1,70 @@
+"""The queries that follow outgoing edges, from the page with most of them: the start page of the others is only ever a target."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.plans import more, relations, scans
+from marlstone.plans.registry import VIEWS, Registry
+from marlstone.sources import store as S
+
+R = Registry()
+_HUB = "(SELECT src FROM ed GROUP BY src ORDER BY count(DISTINCT dst) DESC, src LIMIT 1)"
+
+
+def _hub(spark: SparkSession, d: str) -> str | None:
+    """The page with edges to most others, the first of equals; none without edges."""
+    n = S.edges(spark, d).groupBy("src").agg(F.count_distinct("dst").alias("n")).orderBy(F.desc("n"), "src").first()
+    return n and n["src"]
+
+
+def _from_hub(sql: str) -> str:
+    return sql.replace(f"'{relations.HOME}'", _HUB)
+
+
+@R.add(_from_hub(relations.SQL["g1_neighbours"]))
+def g1_hub_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return relations.g1_neighbours(spark, d, _hub(spark, d))
+
+
+@R.add(_from_hub(relations.SQL["g2_link"]))
+def g2_hub_link(spark: SparkSession, d: str) -> DataFrame:
+    return relations.g2_link(spark, d, _hub(spark, d))
+
+
+@R.add(_from_hub(relations.SQL["g6_personal_pagerank"]))
+def g6_hub_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    return relations.g6_personal_pagerank(spark, d, _hub(spark, d))
+
+
+@R.add(VIEWS + f""", pe AS (SELECT DISTINCT src, dst FROM ed),
+bfs(id, hops) USING KEY (id) AS (SELECT {_HUB}, 0
+  UNION SELECT e.dst, min(b.hops) + 1 FROM bfs b JOIN pe e ON e.src = b.id WHERE e.dst NOT IN (SELECT id FROM recurring.bfs) GROUP BY e.dst)
+SELECT id, hops, hops + 1 AS nodes FROM bfs""")
+def g10_hub_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Shortest paths to all that can be reached, however many hops it takes."""
+    return relations.g10_shortest_paths(spark, d, _hub(spark, d), most=None)
+
+
+@R.add(_from_hub(more.SQL["g15_passed_scores"]))
+def g15_hub_scores(spark: SparkSession, d: str) -> DataFrame:
+    return more.g15_passed_scores(spark, d, _hub(spark, d))
+
+
+@R.add(_from_hub(relations.SQL["j6_neighbour_region"]))
+def j6_hub_region(spark: SparkSession, d: str) -> DataFrame:
+    return relations.j6_neighbour_region(spark, d, _hub(spark, d))
+
+
+@R.add(_from_hub(more.SQL["o7_heaviest_neighbours"]))
+def o7_hub_heaviest(spark: SparkSession, d: str) -> DataFrame:
+    return more.o7_heaviest_neighbours(spark, d, _hub(spark, d))
+
+
+@R.add(_from_hub(scans.SQL["s5_edges_out"]))
+def s5_hub_edges_out(spark: SparkSession, d: str) -> DataFrame:
+    return scans.s5_edges_out(spark, d, _hub(spark, d))
+
+
+QUERIES, SQL = R.queries, R.sql

@@ -120,8 +120,8 @@ def o1_rounded_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add("SELECT dst AS id, max(weight) AS weight FROM ed WHERE src = 'index/home.md' AND weight >= 0.5 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
-def o7_heaviest_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return G.neighbours(S.edges(spark, d), "index/home.md", 1, least=0.5, limit=10).select("id", "weight")
+def o7_heaviest_neighbours(spark: SparkSession, d: str, start: str = "index/home.md") -> DataFrame:
+    return G.neighbours(S.edges(spark, d), start, 1, least=0.5, limit=10).select("id", "weight")
 
 
 @R.add("SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM vec a JOIN vec b ON a.id < b.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, 1, 2 LIMIT 10")
@@ -191,9 +191,9 @@ def r46_nearest_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add("SELECT e.dst AS id, round(max(0.5 * e.weight), 4) AS score FROM ed e WHERE e.src IN (SELECT dst FROM ed WHERE src = 'index/home.md') GROUP BY 1")
-def g15_passed_scores(spark: SparkSession, d: str) -> DataFrame:
+def g15_passed_scores(spark: SparkSession, d: str, start: str = "index/home.md") -> DataFrame:
     e = S.edges(spark, d)
-    seeds = e.where("src = 'index/home.md'").select(F.col("dst").alias("src")).distinct()
+    seeds = e.where(F.col("src") == start).select(F.col("dst").alias("src")).distinct()
     return e.join(seeds, "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.round(F.max(0.5 * F.col("weight")), 4).alias("score"))
 
 

@@ -78,9 +78,9 @@ def j5_cascade(spark: SparkSession, d: str) -> DataFrame:
 @R.add("""
 , hits AS (SELECT dst AS id FROM ed WHERE src = 'index/home.md' UNION SELECT 'index/home.md')
 SELECT id, via, weight FROM (SELECT e.dst AS id, e.src AS via, e.weight, row_number() OVER (PARTITION BY e.dst ORDER BY e.weight DESC, e.src, e.label) AS r FROM ed e JOIN hits h ON e.src = h.id WHERE e.dst NOT IN (SELECT id FROM hits)) WHERE r = 1""")
-def j6_neighbour_region(spark: SparkSession, d: str) -> DataFrame:
+def j6_neighbour_region(spark: SparkSession, d: str, start: str = HOME) -> DataFrame:
     e = S.edges(spark, d)
-    hits = e.where(F.col("src") == HOME).select(F.col("dst").alias("id")).union(spark.createDataFrame([(HOME,)], "id string")).distinct()
+    hits = e.where(F.col("src") == start).select(F.col("dst").alias("id")).union(spark.createDataFrame([(start,)], "id string")).distinct()
     around = e.join(hits, e["src"] == hits["id"]).select(F.col("dst").alias("id"), F.col("src").alias("via"), "weight", "label").join(hits, "id", "left_anti")
     w = Window.partitionBy("id").orderBy(F.desc("weight"), "via", "label")
     return around.withColumn("r", F.row_number().over(w)).where("r = 1").select("id", "via", "weight")
@@ -200,17 +200,17 @@ def j26_version_chain(spark: SparkSession, d: str) -> DataFrame:
 , h1 AS (SELECT dst AS id, 1 AS hop, max(weight) AS weight FROM ed WHERE src = 'index/home.md' GROUP BY dst),
 h2 AS (SELECT e.dst AS id, 2 AS hop, max(e.weight) AS weight FROM ed e JOIN h1 ON e.src = h1.id WHERE e.dst NOT IN (SELECT id FROM h1) AND e.dst <> 'index/home.md' GROUP BY e.dst)
 SELECT * FROM h1 UNION ALL SELECT * FROM h2""")
-def g1_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return G.neighbours(S.edges(spark, d), HOME, 2).select("id", "hop", "weight")
+def g1_neighbours(spark: SparkSession, d: str, start: str = HOME) -> DataFrame:
+    return G.neighbours(S.edges(spark, d), start, 2).select("id", "hop", "weight")
 
 
 @R.add("""
 , nw AS (SELECT dst AS src, 'index/home.md' AS dst, 'RELATED_TO' AS label, 0.5 AS weight FROM ed WHERE src = 'index/home.md'),
 al AS (SELECT src, dst, label, weight FROM nw UNION SELECT dst, src, label, weight FROM nw)
 SELECT * FROM ed UNION ALL SELECT DISTINCT a.src, a.dst, a.label, CAST(a.weight AS DOUBLE) FROM al a WHERE a.src <> a.dst AND NOT EXISTS (SELECT 1 FROM ed e WHERE e.src = a.src AND e.dst = a.dst AND e.label = a.label)""")
-def g2_link(spark: SparkSession, d: str) -> DataFrame:
+def g2_link(spark: SparkSession, d: str, start: str = HOME) -> DataFrame:
     e = S.edges(spark, d)
-    new = e.where(F.col("src") == HOME).select(F.col("dst").alias("src"), F.lit(HOME).alias("dst"), F.lit("RELATED_TO").alias("label"), F.lit(0.5).alias("weight")).distinct()
+    new = e.where(F.col("src") == start).select(F.col("dst").alias("src"), F.lit(start).alias("dst"), F.lit("RELATED_TO").alias("label"), F.lit(0.5).alias("weight")).distinct()
     return G.link(e, new)
 
 
@@ -242,8 +242,8 @@ def g5_pagerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add(_pagerank_sql("CASE WHEN id = 'index/home.md' THEN 1.0 ELSE 0.0 END"))
-def g6_personal_pagerank(spark: SparkSession, d: str) -> DataFrame:
-    seeds = spark.createDataFrame([(HOME,)], "id string")
+def g6_personal_pagerank(spark: SparkSession, d: str, start: str = HOME) -> DataFrame:
+    seeds = spark.createDataFrame([(start,)], "id string")
     return G.pagerank(S.edges(spark, d), seeds=seeds).withColumn("rank", F.round("rank", 8))
 
 
@@ -289,8 +289,8 @@ def g9_label_propagation(spark: SparkSession, d: str) -> DataFrame:
 , pe AS (SELECT DISTINCT src, dst FROM ed),
 bfs AS (SELECT 'index/home.md' AS id, 0 AS hops UNION SELECT e.dst, b.hops + 1 FROM bfs b JOIN pe e ON e.src = b.id WHERE b.hops < 6)
 SELECT id, min(hops) AS hops, min(hops) + 1 AS nodes FROM bfs GROUP BY id""")
-def g10_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    p = G.shortest_paths(S.edges(spark, d), HOME, most=6)
+def g10_shortest_paths(spark: SparkSession, d: str, start: str = HOME, most: int | None = 6) -> DataFrame:
+    p = G.shortest_paths(S.edges(spark, d), start, most=most)
     return p.select("id", "hops", F.size("path").alias("nodes"))
 
 

@@ -38,8 +38,8 @@ def s4_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add("SELECT * FROM ed WHERE src = 'index/home.md'")
-def s5_edges_out(spark: SparkSession, d: str) -> DataFrame:
-    return S.edges(spark, d).where("src = 'index/home.md'")
+def s5_edges_out(spark: SparkSession, d: str, start: str = "index/home.md") -> DataFrame:
+    return S.edges(spark, d).where(F.col("src") == start)
 
 
 @R.add("SELECT * FROM ed WHERE dst = 'index/home.md'")

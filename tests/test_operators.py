@@ -13,7 +13,7 @@ from marlstone.operators import quality as Q
 from marlstone.operators import tql
 from marlstone.operators import vector as V
 from marlstone.operators.ranking import global_lead, global_place
-from marlstone.plans import relations
+from marlstone.plans import hubs, relations
 from marlstone.sources import files
 
 
@@ -52,6 +52,15 @@ def test_paths(spark):
     assert got == {0: (0, [0]), 1: (1, [0, 1]), 3: (1, [0, 3]), 2: (2, [0, 1, 2]), 4: (2, [0, 3, 4])}
 
 
+def test_walks_from_the_hub_reach_the_end(spark, tmp_path):
+    chain = [f"p{i:02}.md" for i in range(12)]
+    rows = [*zip(chain, chain[1:]), ("p00.md", "q.md"), ("p03.md", "index/home.md")]
+    spark.createDataFrame([(a, b, "NEXT", 1.0) for a, b in rows], "source string, target string, relation string, weight double").write.parquet(f"{tmp_path}/graph_edges.parquet")
+    got = {n: hubs.QUERIES[n](spark, str(tmp_path)).collect() for n in ("g10_hub_paths", "s5_hub_edges_out", "g15_hub_scores")}
+    assert {r.id: r.hops for r in got["g10_hub_paths"]} == {**{p: i for i, p in enumerate(chain)}, "q.md": 1, "index/home.md": 4}
+    assert {r.dst for r in got["s5_hub_edges_out"]} == {"p01.md", "q.md"} and {r.id for r in got["g15_hub_scores"]} == {"p02.md"}
+
+
 def test_places_over_many_partitions(spark):
     df = spark.range(1000).select(F.pmod(F.col("id") * 7919, F.lit(1000)).alias("x")).repartition(13)
     assert [(r.x, r.place) for r in global_place(df, "x").orderBy("x").collect()] == [(i, i + 1) for i in range(1000)]
