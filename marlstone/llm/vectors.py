@@ -157,7 +157,9 @@ def build_index(vectors: DataFrame, *, fit_rows: int = FIT_ROWS, list_rows: int
 
     vectors: model, id_a, id_b, vector, dim. Repeated keys and unusable vectors
     do no harm, so the rows may come straight from the scan: counting reads no
-    vectors, and the sample is drawn before anything is shuffled.
+    vectors, and the sample is drawn before anything is shuffled. A model of
+    which the sample holds no usable vector is fitted on some of its usable
+    ones, so only a model without any is absent.
     """
     counts = {r["model"]: r["n"] for r in vectors.groupBy(_space().alias("model")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -169,9 +171,19 @@ def build_index(vectors: DataFrame, *, fit_rows: int = FIT_ROWS, list_rows: int
     picked = drawn.select(_space().alias("model"), F.col("vector").cast("array<float>").alias("vector")).toArrow()
     out = {}
     models = np.array(picked["model"].to_pylist(), dtype=object)
+    sampled = set(models.tolist())
+    missed = [m for m, n in counts.items() if m not in sampled and n > fit_rows]
+    if missed:  # few usable among many: count those, and draw from them alone
+        usable_rows = vectors.where(_space().isin(missed)).where(usable(F.col("vector"), F.col("dim"))).where("id_a is not null and id_b is not null")
+        few = {r["model"]: r["n"] for r in usable_rows.groupBy(_space().alias("model")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for m, n in few.items():
+            own = usable_rows.where(_space() == m).limit(fit_rows).select(_space().alias("model"), F.col("vector").cast("array<float>").alias("vector")).toArrow()
+            picked = pa.concat_tables([picked, own])
+            counts[m] = n
+        models = np.array(picked["model"].to_pylist(), dtype=object)
     for m, n in counts.items():
         at = np.flatnonzero(models == m)
-        if not len(at):  # no usable vector among all its rows, or none of over fit_rows
+        if not len(at):  # no usable vector among all its rows
             continue
         vec = picked["vector"].combine_chunks().take(pa.array(at))
         x = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)

@@ -107,3 +107,15 @@ def test_pairs_smaller_key_first(spark):
 def test_latest_chunk_counts(spark):
     df = spark.createDataFrame([(1, 0, "old", 1.0), (1, 0, "new", 2.0), (1, 0, "new", 2.0), (1, 1, "x", None)], "node_id long, chunk_idx int, t string, updated_at double")
     assert sorted(tuple(r) for r in V.latest_chunks(df, "t").collect()) == [(1, 0, "new"), (1, 1, "x")]
+
+
+def test_few_usable_vectors_among_many_rows(spark):
+    """The sample of the raw rows holds none of them, and they are found all the same."""
+    rng = np.random.default_rng(12)
+    few = rows(rng.normal(size=(6, 8)), "rare", 5_000)
+    bad = [(i, 0, "rare", None if i % 2 else [0.0] * 8, 8, 7, "x") for i in range(3_000)]
+    df = spark.createDataFrame(few + bad + rows(near_pairs(20, 5, 8), "other", 9_000), SCHEMA)
+    index = V.build_index(df, fit_rows=2)
+    assert {m.split("\u0001")[0] for m in index} == {"rare", "other"}
+    got = run(spark, few + bad, k=3, fit_rows=2)
+    assert got == brute(few, 3)
