@@ -132,17 +132,19 @@ def shortest_paths(edges: DataFrame, start, *, most: int | None = None, relation
     return out
 
 
-def chain(links: DataFrame, *, most: int = 100) -> DataFrame:
-    """(id, step, node): from every node along its first outgoing link (the smallest dst), until there is none or a node comes again."""
-    first = links.groupBy("src").agg(F.min("dst").alias("dst"))
+def chain(links: DataFrame, *, most: int | None = None) -> DataFrame:
+    """(id, step, node): from every node along its first outgoing link (the smallest dst), until there is none or a node comes again, or after `most` steps."""
+    first = cut(links.groupBy("src").agg(F.min("dst").alias("dst")))
     front = first.select(F.col("src").alias("id"), F.lit(0).alias("step"), F.col("src").alias("node"), F.array("src").alias("seen"))
     out = front.select("id", "step", "node")
-    for step in range(1, most + 1):
+    for step in count(1) if most is None else range(1, most + 1):
         nxt = front.join(first, front["node"] == first["src"]).where(~F.array_contains("seen", F.col("dst")))
         front = cut(nxt.select("id", F.lit(step).alias("step"), F.col("dst").alias("node"), F.concat("seen", F.array("dst")).alias("seen")))
         if front.isEmpty():
             break
         out = out.union(front.select("id", "step", "node"))
+        if step % 32 == 0:
+            out = cut(out)
     return out
 
 

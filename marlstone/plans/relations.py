@@ -191,7 +191,7 @@ walk AS (SELECT src AS id, 0 AS step, src AS node, [src] AS seen FROM first
   UNION ALL SELECT w.id, w.step + 1, f.dst, list_append(w.seen, f.dst) FROM walk w JOIN first f ON f.src = w.node WHERE NOT list_contains(w.seen, f.dst))
 SELECT id, step, node FROM walk""")
 def j26_version_chain(spark: SparkSession, d: str) -> DataFrame:
-    return G.chain(S.fact_links(spark, d), most=1000)
+    return G.chain(S.fact_links(spark, d))
 
 
 # ---- graph

@@ -52,6 +52,20 @@ def test_paths(spark):
     assert got == {0: (0, [0]), 1: (1, [0, 1]), 3: (1, [0, 3]), 2: (2, [0, 1, 2]), 4: (2, [0, 3, 4])}
 
 
+def test_chains_end_only_where_links_do(spark):
+    links = edges(spark, [(i, i + 1) for i in range(105)] + [(200, 201), (201, 200)])
+    got = {(r.id, r.step, r.node) for r in G.chain(links).collect()}
+    assert got == {(i, s, i + s) for i in range(105) for s in range(106 - i)} | {(200, 0, 200), (200, 1, 201), (201, 0, 201), (201, 1, 200)}
+
+
+def test_version_chain_has_no_cap(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(relations.S, "fact_links", lambda *a: None)
+    monkeypatch.setattr(relations.G, "chain", lambda links, **how: calls.append(how.get("most")))
+    relations.j26_version_chain(spark, "")
+    assert calls == [None]
+
+
 def test_walks_from_the_hub_reach_the_end(spark, tmp_path):
     chain = [f"p{i:02}.md" for i in range(12)]
     rows = [*zip(chain, chain[1:]), ("p00.md", "q.md"), ("p03.md", "index/home.md")]
