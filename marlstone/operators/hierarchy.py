@@ -151,8 +151,9 @@ def hierarchy(links: DataFrame, *, with_path: bool = False, separator: str = " >
 def descendants(links: DataFrame) -> DataFrame:
     """(ancestor, node, distance): every page below each page, at its least distance.
 
-    Lists travel up by peel order as rows, never as one array, so a root above
-    a third of all pages is no row of that length. Inside circles a page lies
+    A closure by distance, without peeling: pairs travel up one link a round as
+    rows, never as one array, so a root above a third of all pages is no row of
+    that length. Inside circles a page lies
     below itself once; rounds stop when no new pair appears.
     """
     links = cut(links.select("child", "parent").where("child is not null and parent is not null").distinct())
