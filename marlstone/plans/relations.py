@@ -520,4 +520,24 @@ def x_pooled_vectors(spark: SparkSession, d: str) -> DataFrame:
     return V.pool(c).select("id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[47], 6).alias("last"))
 
 
+@R.add()
+def x_all_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """Of every content, those with decimals too, which the SQL's patterns cannot tell from sentence ends."""
+    return S.nodes(spark, d).select("id", E.excerpt(F.col("content"), 100).alias("piece"))
+
+
+@R.add("SELECT doc_id, translate(text, '，。：；！？（）【】', ',.:;!?()[]') AS folded FROM documents")
+def x_fold_all_punctuation(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", E.fold_punctuation(F.col("text")).alias("folded"))
+
+
+@R.add("""
+, c AS (SELECT node_id, v.model AS model, v.dim AS dim, length(v.chunk_text) AS w, CAST(v.vector AS DOUBLE[]) AS x FROM ch WHERE len(v.vector) = v.dim AND len(list_filter(v.vector, lambda x: x <> 0)) > 0),
+p AS (SELECT node_id, model, dim, w, unnest(x) AS x, unnest(generate_series(1, len(x))) AS i FROM c), m AS (SELECT node_id, model, dim, i, sum(x * w) / sum(w) AS m FROM p GROUP BY ALL)
+SELECT node_id AS id, model, dim, round(m[1] / n, 6) AS first, round(m[-1] / n, 6) AS last FROM (SELECT node_id, model, dim, list(m ORDER BY i) AS m, sqrt(sum(m * m)) AS n FROM m GROUP BY node_id, model, dim)""")
+def x_pooled_models(spark: SparkSession, d: str) -> DataFrame:
+    """One vector for each node and space of vectors."""
+    c = S.chunks(spark, d).where("vector is not null").select(F.struct("node_id", "model", "dim").alias("id"), F.col("vector").cast("array<double>").alias("v"), F.char_length("chunk_text").alias("weight"))
+    return V.pool(c).select(F.col("id.node_id").alias("id"), "id.model", "id.dim", F.round(F.col("v")[0], 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
+
 QUERIES, SQL = R.queries, R.sql

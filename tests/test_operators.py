@@ -66,6 +66,16 @@ def test_version_chain_has_no_cap(spark, monkeypatch):
     assert calls == [None]
 
 
+def test_text_and_pooling_queries_cover_all_rows(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "好，", "zh"), (2, "good！", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in relations.QUERIES["x_fold_all_punctuation"](spark, str(tmp_path)).collect()} == {(1, "好,"), (2, "good!")}
+    chunks = [(1, "ab", [3.0, 4.0], 2, "x"), (1, "cd", [0.0, 2.0, 0.0], 3, "y"), (2, "ef", [1.0, 0.0], 2, "x")]
+    monkeypatch.setattr(relations.S, "chunks", lambda *a: spark.createDataFrame(chunks, "node_id long, chunk_text string, vector array<float>, dim int, model string"))
+    assert {tuple(r) for r in relations.QUERIES["x_pooled_models"](spark, "").collect()} == {(1, "x", 2, 0.6, 0.8), (1, "y", 3, 0.0, 0.0), (2, "x", 2, 1.0, 0.0)}
+    monkeypatch.setattr(relations.S, "nodes", lambda *a: spark.createDataFrame([(1, "x" * 60 + ". " + "y" * 20 + " 3.5 " + "z" * 40), (2, "a 1.5 b")], "id long, content string"))
+    assert {tuple(r) for r in relations.QUERIES["x_all_excerpts"](spark, "").collect()} == {(1, "x" * 60 + "."), (2, "a 1.5 b")}
+
+
 def test_walks_from_the_hub_reach_the_end(spark, tmp_path):
     chain = [f"p{i:02}.md" for i in range(12)]
     rows = [*zip(chain, chain[1:]), ("p00.md", "q.md"), ("p03.md", "index/home.md")]
