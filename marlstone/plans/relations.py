@@ -133,6 +133,19 @@ def j14_mentions(spark: SparkSession, d: str) -> DataFrame:
     return words.join(names, "name", "left_semi").select("id", "name")
 
 
+@R.add("""
+, names AS (SELECT DISTINCT lower(trim(character_name)) AS name FROM cur WHERE length(trim(character_name)) >= 2)
+SELECT c.id, n.name FROM cur c JOIN names n ON contains(lower(c.content), n.name)""")
+def j14_all_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Names of two or more characters of any script anywhere in contents: an equi-join on their first two characters, then the whole name."""
+    n = S.nodes(spark, d)
+    names = n.select(F.lower(F.trim("character_name")).alias("name")).where("char_length(name) >= 2").distinct().withColumn("gram", F.substring("name", 1, 2))
+    texts = n.select("id", F.lower("content").alias("content"))
+    grams = texts.select("id", F.explode(F.array_distinct(T.gram_array(F.col("content"), 2))).alias("gram"))
+    held = grams.join(names, "gram").select("id", "name")
+    return held.join(texts, "id").where(F.contains("content", "name")).select("id", "name")
+
+
 @R.add(r", named AS (SELECT dst AS p, regexp_extract(dst, '([^/]+)\.md$', 1) AS name FROM ed UNION SELECT src, regexp_extract(src, '([^/]+)\.md$', 1) FROM ed) SELECT a.src, b.p AS twin FROM (SELECT DISTINCT src FROM ed WHERE label = 'WIKI_LINK') a JOIN named n ON n.p = a.src JOIN named b ON b.name = n.name AND b.p <> a.src WHERE n.name <> ''")
 def j15_same_name(spark: SparkSession, d: str) -> DataFrame:
     e = S.edges(spark, d)

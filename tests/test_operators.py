@@ -76,6 +76,14 @@ def test_text_and_pooling_queries_cover_all_rows(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in relations.QUERIES["x_all_excerpts"](spark, "").collect()} == {(1, "x" * 60 + "."), (2, "a 1.5 b")}
 
 
+def test_mentions_of_names_of_any_script(spark, monkeypatch):
+    names = ["李明", "Zoë", "Al", "Mary Ann", "x"]
+    texts = ["今天李明来了", "with ZOË", "halted", "mary ann, x", "y"]
+    monkeypatch.setattr(relations.S, "nodes", lambda *a: spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(zip(texts, names))], "id long, content string, character_name string"))
+    got = {tuple(r) for r in relations.QUERIES["j14_all_mentions"](spark, "").collect()}
+    assert got == {(0, "李明"), (1, "zoë"), (2, "al"), (3, "mary ann")}
+
+
 def test_walks_from_the_hub_reach_the_end(spark, tmp_path):
     chain = [f"p{i:02}.md" for i in range(12)]
     rows = [*zip(chain, chain[1:]), ("p00.md", "q.md"), ("p03.md", "index/home.md")]
