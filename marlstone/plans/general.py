@@ -20,9 +20,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
-    links = _links(spark, d)
-    tree = H.hierarchy(links, with_path=True)
-    return tree.join(H.subtree_sizes(links), "node", "left").select("node", "root", "depth", "path", F.coalesce("n_below", F.lit(0)).cast("bigint").alias("n_below"))
+    return H.paths_and_sizes(_links(spark, d))
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -100,6 +98,19 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_circle
 SQL = {
     "p2_found": _LINKS_SQL + "SELECT DISTINCT node, root, depth FROM tree",
     "p2_circles": _LINKS_SQL + "SELECT node FROM circle",
+    "p2_paths": _LINKS_SQL
+    + """
+, ways AS (
+  SELECT node, node AS root, CAST(0 AS BIGINT) AS depth, node AS path FROM nodes WHERE node NOT IN (SELECT child FROM links)
+  UNION ALL SELECT l.child, w.root, w.depth + 1, w.path || ' > ' || l.child FROM ways w JOIN links l ON l.parent = w.node WHERE l.child NOT IN (SELECT node FROM circle)),
+best AS (SELECT node, root, depth, min(path) AS path FROM ways GROUP BY ALL UNION ALL SELECT DISTINCT node, root, depth, NULL FROM tree WHERE depth < 0),
+below AS (SELECT anc AS node, count(DISTINCT node) AS n FROM reach WHERE anc <> node GROUP BY anc)
+SELECT b.node, root, depth, path, coalesce(n, 0) AS n_below FROM best b LEFT JOIN below USING (node)""",
+    "p2_descendants": _LINKS_SQL.split("circle AS")[0]
+    + """
+far AS (SELECT parent AS ancestor, child AS node, CAST(1 AS BIGINT) AS distance FROM links
+  UNION SELECT f.ancestor, l.child, f.distance + 1 FROM far f JOIN links l ON l.parent = f.node WHERE f.distance < (SELECT count(*) FROM nodes))
+SELECT ancestor, node, min(distance) AS distance FROM far GROUP BY ALL""",
     "p6_found": _REFS_SQL + "SELECT DISTINCT ref_table, ref_key, ref_field, ref_id, period FROM orphans",
     "p6_report": _REFS_SQL
     + """

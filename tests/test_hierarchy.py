@@ -74,3 +74,37 @@ def test_paths_and_descendants(spark):
 def test_names(spark):
     df = spark.createDataFrame([(" .\\a\\b.md ", "a/c.md", " part_of ", 1.0), ("", "x", "PART_OF", 1.0), (None, "x", "PART_OF", 1.0), ("q", "w", "NEXT", 1.0), ("q", "w", None, 1.0)], "source string, target string, relation string, weight double")
     assert [tuple(r) for r in H.part_of_links(df).collect()] == [("a/b.md", "a/c.md")]
+
+
+def below(links):
+    kids = {}
+    for c, p in links:
+        kids.setdefault(p, set()).add(c)
+    out = {}
+    for x in kids:
+        seen, todo = set(), list(kids[x])
+        while todo:
+            y = todo.pop()
+            if y not in seen:
+                seen.add(y)
+                todo += kids.get(y, ())
+        out[x] = len(seen - {x})
+    return {(k, v) for k, v in out.items() if v}
+
+
+def test_chains_shared_pages_and_circles_together(spark):
+    rng = random.Random(5)
+    links = [(f"c{i + 1:02}", f"c{i:02}") for i in range(30)]  # a chain that peeling leaves to doubling
+    links += [(f"d{i + 1:02}", f"d{i:02}") for i in range(9)] + [("d05", "c20"), ("d07", "c03"), ("d07", "c11")]
+    links += [("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("t0", "r1"), ("t1", "t0"), ("t2", "t1"), ("t3", "t2")]  # a circle of single parents and its tail
+    links += [("e0", "e1"), ("e1", "e2"), ("e2", "e0"), ("e0", "c05"), ("f0", "e1"), ("f1", "f0"), ("f1", "c09")]  # a circle below a tree
+    links += [(f"x{i:02}", f"x{rng.randrange(i):02}") for i in range(1, 40)] + [(f"x{i:02}", f"x{rng.randrange(i):02}") for i in range(10, 40, 6)]
+    rng.shuffle(links)
+    df = spark.createDataFrame(links, "child string, parent string")
+    want = brute(links)
+    got = H.paths_and_sizes(df).collect()
+    assert {(r.node, r.root, r.depth) for r in got} == want
+    assert {(r.node, r.n_below) for r in got if r.n_below} == below(links)
+    assert all((r.path is None) == (r.depth < 0) and (r.path is None or r.path.count(" > ") == r.depth and r.path.split(" > ")[0] == r.root and r.path.endswith(r.node)) for r in got)
+    assert {r.node for r in H.on_circles(df).collect()} == {"r0", "r1", "r2", "e0", "e1", "e2"}
+    assert {tuple(r) for r in H.subtree_sizes(df).collect()} == below(links)
