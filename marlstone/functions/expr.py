@@ -106,13 +106,55 @@ def exact_identifier(query: Column) -> Column:
     return query.rlike(r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{7,40}\b") | query.rlike(r"#\d{1,5}\b") | query.rlike(r"\b[A-Z]{2,}-\d+\b")
 
 
-def belief(content: Column, path: Column, st: Column, support: dict, doubt: str) -> Column:
-    """Subjective logic: r / (r + s + 2) from evidence for (patterns with weights, a known path) and against (doubt in the text, being outdated)."""
-    r = F.when(F.coalesce(path, F.lit("")) != "", F.lit(0.9)).otherwise(0.0)
-    for pattern, weight in support.items():
-        r = r + F.when(content.rlike(pattern), F.lit(weight)).otherwise(0.0)
-    s = F.when(st == "outdated", F.lit(1.0)).otherwise(0.0) + F.when(content.rlike(doubt), F.lit(0.3)).otherwise(0.0)
-    return r / (r + s + 2.0)
+#: Evidence in a text and its weight, words of doubt, weights of a known path, a commit, an outdated node and doubt.
+EVIDENCE = {
+    r"(?i)\b(?=[0-9a-f]{7,40}\b)[0-9a-f]*[a-f][0-9a-f]*\b|\bPR\s*#\d+\b": 1.0,
+    r"[A-Za-z]:[\\/][^\s，。；、）)\]]{3,}|(?<![\w/])/(?:home|mnt|tmp|d)/[^\s]{3,}": 0.8,
+    r"https?://[^\s，。）)]+": 0.8,
+    r"(?i)node\s*\d+|节点\s*\d+": 0.6,
+    "实测|跑出来|测试通过|复跑|验证过|exit code|全绿|全过|断言": 0.7,
+}
+DOUBT = "待确认|待验证|存疑|未验证|无法确认|尚无定论|不确定是否|没有证据|缺乏证据|暂未核实"
+W_PATH, W_COMMIT, W_OUTDATED, W_DOUBT = 0.9, 1.0, 1.0, 0.3
+
+
+def opinion(content: Column, path: Column, st: Column, kind: Column, has_commit: Column) -> Column:
+    """Subjective logic as struct (b, d, u) of sum 1: belief from evidence for, disbelief from evidence against, the rest uncertain."""
+    on = lambda c, w: F.when(c, F.lit(w)).otherwise(0.0)
+    r = on(F.coalesce(path, F.lit("")) != "", W_PATH) + on((kind == "git_commit") & has_commit, W_COMMIT)
+    for pattern, weight in EVIDENCE.items():
+        r = r + on(content.rlike(pattern), weight)
+    s = on(st == "outdated", W_OUTDATED) + on(content.rlike(DOUBT), W_DOUBT)
+    return F.struct((r / (r + s + 2.0)).alias("b"), (s / (r + s + 2.0)).alias("d"), (2.0 / (r + s + 2.0)).alias("u"))
+
+
+def tilted(b: Column, center: float, span: float) -> Column:
+    """A belief brought to -1..1 around `center`, cut off at `span`; 0 without a span."""
+    return clamp((b - center) / span, -1.0, 1.0) if span > 0 else F.lit(0.0)
+
+
+def clamp(x: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+
+
+#: Messages that ask for nothing, and what may follow them.
+_IDLE = "yes|no|ok|okay|sure|thanks|thank you|y|n|yep|nope|yeah|nah|hi|hey|hello|yo|sup|continue|go ahead|do it|proceed|got it|cool|nice|great|done|next|lgtm|k"
+_TAIL = r"[\s!?.:;,\"'~\u2018\u2019\u201c\u201d\u2014\u2013\u2026()\[\]{}<>*&^%$#@!+=`\u00a0]*"
+#: Words that give a task.
+_ZH_VERBS = "做|改|查|写|跑|验证|修|提|生成|整理|分析|对比"
+_EN_VERBS = r"(?i)\b(?:do|make|fix|add|check|run|verify|write|build|create|review|analyze)\b"
+
+
+def trivial(text: Column) -> Column:
+    """Nothing, a command after a slash, or bare greeting or consent."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return (t == "") | t.startswith("/") | t.rlike(f"(?i)^(?:{_IDLE}){_TAIL}$")
+
+
+def substantive(sections: Column, message: Column) -> Column:
+    """A section is filled in, or the message gives a task."""
+    filled = F.coalesce(F.exists(F.map_values(sections), lambda v: F.trim(F.coalesce(v, F.lit(""))) != ""), F.lit(False))
+    return filled | F.coalesce(message.rlike(_ZH_VERBS) | message.rlike(_EN_VERBS), F.lit(False))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -144,11 +186,17 @@ def shorten(text: Column, most: int) -> Column:
 
 
 def excerpt(text: Column, most: int = 400) -> Column:
-    """Verbatim beginning of at most `most` characters: up to its last sentence end if that is in the second half, else up to a blank, else cut."""
-    head = F.substring(text, 1, most)
-    sentence = F.regexp_extract(head, r"(?s)^(.*(?:[。！？!?；;]|(?<!\d)\.|\.(?!\d)))", 1)
-    word = F.regexp_extract(head, r"(?s)^(.*)\s\S*$", 1)
-    return F.when(F.char_length(text) <= most, text).when(F.char_length(sentence) >= most // 2, sentence).when(F.char_length(word) >= most // 2, word).otherwise(head)
+    """Verbatim beginning of at most `most` characters.
+
+    Up to the last sentence or line end (a point between digits is none, a line
+    end is left off) if that is not in the first half; else up to the last
+    blank or comma, if that is not; else cut.
+    """
+    ahead, head, half = F.substring(text, 1, most + 1), F.substring(text, 1, most), most // 2
+    sentence = F.regexp_extract(ahead, rf"(?s)^(.{{0,{most - 1}}}(?:[。！？!?\n]|(?<!\d)\.|\.(?!\d)))", 1)
+    word = F.regexp_extract(head, r"(?s)^(.*)[ \t,，、]", 1)
+    bare = F.when(sentence.endswith("\n"), F.substring(sentence, F.lit(1), F.char_length(sentence) - 1)).otherwise(sentence)
+    return F.when(F.char_length(text) <= most, text).when((sentence != "") & (F.char_length(bare) >= half), bare).when(F.char_length(word) >= half, word).otherwise(head)
 
 
 def fold_punctuation(text: Column) -> Column:

@@ -2,71 +2,126 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 #: Where a query is cut before grams are taken.
-_CUTS = r"[\s，。；：！？、（）《》「」,.;:!?()\[\]{}<>/\\|\"'`~@#$%^&*+=_-]+"
+CUTS = r"[\s,，。；;、/（）()？?！!：:+【】\[\]「」『』\-—·…]+"
+#: Grams a query is looked up by at most; characters of a hit's text that are shown.
+MOST, SHOWN = 12, 120
 
 
 def gram_array(text: Column, n: int) -> Column:
-    """All n-character grams of the lower-cased text."""
-    t = F.lower(text)
-    return F.when(F.char_length(t) >= n, F.transform(F.sequence(F.lit(1), F.char_length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All n-character grams of the lower-cased text, in one pass over it."""
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)), F.array().cast("array<string>"))
 
 
 def postings(docs: DataFrame, n: int) -> DataFrame:
-    """(id, gram, tf, dl): the inverted table of docs (id, content)."""
-    grams = docs.select("id", F.greatest(F.char_length("content") - (n - 1), F.lit(0)).alias("dl"), F.explode(gram_array(F.col("content"), n)).alias("gram"))
+    """(id, gram, tf, dl): the inverted table of docs (id, content); kept as a table by gram, a query reads its few grams alone."""
+    grams = docs.select("id", F.greatest(F.char_length(F.lower("content")) - (n - 1), F.lit(0)).alias("dl"), F.explode(gram_array(F.col("content"), n)).alias("gram"))
     return grams.groupBy("id", "gram", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def even_sample(n: int, k: int) -> list[int]:
-    """k indexes spread evenly over n, ends included; halves go to even numbers."""
-    return list(range(n)) if n <= k else [round(i * (n - 1) / (k - 1)) for i in range(k)]
+def even_sample(items: Column, k: int) -> Column:
+    """k elements of an array spread evenly over it, both ends included; halves go to even places. Arrays of at most k stay as they are."""
+    n = F.size(items)
+    place = lambda i: F.bround(i * (n - 1) / F.lit(k - 1), 0).cast("int")
+    return F.when(n <= k, items).otherwise(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get(items, place(i))))
+
+
+def query_grams(query: Column, n: int = 3, most: int = MOST) -> Column:
+    """The grams a query is looked up by: of every part between cuts each step-th and the last, thinned evenly to `most`.
+
+    A part's step is the number of its grams divided by `most`, so its end is
+    covered as well as its beginning. Parts under n characters, null and blank
+    queries give none.
+    """
+    def of_part(p: Column) -> Column:
+        total = F.char_length(p) - (n - 1)
+        step = F.greatest(F.lit(1), F.floor(total / most).cast("int"))
+        places = F.array_union(F.sequence(F.lit(0), total - 1, step), F.array(total - 1))
+        return F.transform(places, lambda i: F.substring(p, i + 1, F.lit(n)))
 
+    parts = F.filter(F.split(query, CUTS), lambda p: F.char_length(p) >= n)
+    return even_sample(F.coalesce(F.flatten(F.transform(parts, of_part)), F.array().cast("array<string>")), most)
 
-def query_grams(query: str, n: int = 3, most: int = 12) -> list[str]:
-    """Grams to look a query up by: of each part between cuts every step-th and the last, thinned evenly to `most`."""
-    import re
 
-    parts = [p for p in re.split(_CUTS, query.lower()) if len(p) >= n]
-    total = sum(len(p) - n + 1 for p in parts)
-    step = max(1, total // most)
-    found: dict[str, None] = {}
-    for p in parts:
-        starts = [*range(0, len(p) - n + 1, step)]
-        for i in dict.fromkeys([*starts, len(p) - n]):
-            found.setdefault(p[i : i + n])
-    grams = list(found)
-    return [grams[i] for i in even_sample(len(grams), most)]
+def _lowered(docs: DataFrame) -> DataFrame:
+    """(id, c): the text in lower case, worked out once; explode keeps it from being put into every expression that uses it."""
+    return docs.select("id", F.explode(F.array(F.lower("content"))).alias("c"))
 
 
 def bm25(docs: DataFrame, grams: list[str], n: int) -> DataFrame:
     """(id, score): BM25 of docs (id, content) for the grams of a query.
 
-    Only grams of the query leave the scan; counts of documents and their mean
-    length come from one aggregate over all documents.
+    Texts without any of the grams end in the scan; the others are read once a
+    gram, in linear time. Counts of documents and their mean length come from
+    one aggregate over all documents. No grams give no rows.
     """
-    d = docs.select("id", F.lower("content").alias("c"))
-    size = F.greatest(F.char_length("c") - (n - 1), F.lit(0))
-    whole = d.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(size).alias("mean_len"))
-    hits = d.select("id", size.alias("dl"), F.explode(F.filter(gram_array(F.col("c"), n), lambda g: g.isin(grams))).alias("gram")).groupBy("id", "gram", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    grams = list(dict.fromkeys(g.lower() for g in grams))
+    size = lambda c: F.greatest(F.char_length(c) - (n - 1), F.lit(0))
+    whole = docs.agg(F.count("content").alias("n_docs"), F.avg(size(F.lower("content"))).alias("mean_len"))
+    d = _lowered(docs)
+    if not grams:
+        return d.select("id", F.lit(0.0).alias("score")).limit(0)
+    some = F.lit(False)
+    for g in grams:
+        some = some | F.col("c").contains(g)
+    times = [F.struct(F.lit(g).alias("gram"), F.regexp_count("c", F.lit(f"(?={re.escape(g)})")).alias("tf")) for g in grams]
+    hits = d.where(some).select("id", size(F.col("c")).alias("dl"), F.inline(F.array(*times))).where("tf > 0")
     df = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))  # at most as many rows as the query has grams
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_len")))
     return hits.join(F.broadcast(df), "gram").join(F.broadcast(whole)).groupBy("id").agg(F.sum(idf * weight).alias("score"))
 
 
+def bm25_stored(index: DataFrame, n_docs: int, mean_len: float, grams: list[str]) -> DataFrame:
+    """As bm25, from a stored table of `postings`: the filter on gram reaches its scan."""
+    hits = index.where(F.col("gram").isin(*[g.lower() for g in grams]) if grams else F.lit(False))
+    df = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_len))
+    return hits.join(F.broadcast(df), "gram").groupBy("id").agg(F.sum(idf * weight).alias("score"))
+
+
+def how(query: str) -> str:
+    """'empty', 'grams' (over 8 characters without a quotation mark), 'phrase' (3 to 8) or 'like'."""
+    q = (query or "").strip()
+    return "empty" if not q else "like" if '"' in q or len(q) < 3 else "grams" if len(q) > 8 else "phrase"
+
+
 def search(docs: DataFrame, query: str, limit: int) -> DataFrame:
-    """(id, score, how) best first: grams for long queries, the phrase for middle ones, a plain LIKE for short ones."""
-    if len(query) > 8 and '"' not in query:
-        return bm25(docs, query_grams(query), 3).withColumn("how", F.lit("grams")).orderBy(F.desc("score"), "id").limit(limit)
-    q = query.lower()
-    if len(query) >= 3:
+    """(id, score, how, shown) best first: grams for long queries, the phrase for middle ones, LIKE for short ones and where there is no gram.
+
+    In LIKE the query's % and _ stay wildcards; its hits have no score and come
+    by id. An empty query gives no rows.
+    """
+    q, way = (query or "").strip().lower(), how(query)
+    if way == "grams":
+        one = docs.sparkSession.range(1).select(query_grams(F.lit(q)).alias("g")).first()
+        if one["g"]:
+            best = bm25(docs, one["g"], 3).orderBy(F.desc("score"), "id").limit(limit)
+            return best.join(docs, "id").select("id", "score", F.lit("grams").alias("how"), F.substring("content", 1, SHOWN).alias("shown")).orderBy(F.desc("score"), "id")
+        way = "like"
+    d = docs.select("id", F.col("content").alias("text"), F.explode(F.array(F.lower("content"))).alias("c"))
+    if way == "phrase":
         times = (F.char_length("c") - F.char_length(F.replace(F.col("c"), F.lit(q), F.lit("")))) / len(q)
-        found = docs.select("id", F.lower("content").alias("c")).where(F.col("c").contains(q)).select("id", times.alias("score"), F.lit("phrase").alias("how"))
+        found = d.where(F.col("c").contains(q)).withColumn("score", times)
     else:
-        found = docs.where(F.lower("content").contains(q)).select("id", F.lit(0.0).alias("score"), F.lit("like").alias("how"))
-    return found.orderBy(F.desc("score"), "id").limit(limit)
+        found = d.where(F.col("c").like("%" + q.replace("\\", "\\\\") + "%") if way == "like" else F.lit(False)).withColumn("score", F.lit(0.0))
+    return found.orderBy(F.desc("score"), "id").limit(limit).select("id", "score", F.lit(way).alias("how"), F.substring("text", 1, SHOWN).alias("shown"))
+
+
+def search_with_status(docs: DataFrame | None, query: str, limit: int) -> tuple[DataFrame | None, str]:
+    """The hits and 'ok', 'empty' (nothing was asked) or 'degraded' (there is no text table)."""
+    if how(query) == "empty":
+        return None if docs is None else search(docs, query, limit), "empty"
+    return (None, "degraded") if docs is None else (search(docs, query, limit), "ok")
+
+
+def quoted(gram: Column) -> Column:
+    """A gram as a literal: in quotation marks, inner ones doubled."""
+    return F.concat(F.lit('"'), F.replace(gram, F.lit('"'), F.lit('""')), F.lit('"'))

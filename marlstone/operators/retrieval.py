@@ -80,3 +80,66 @@ def rerank(hits: DataFrame, scorer: Column, pool: int) -> DataFrame:
     s = s.withColumn("_key", F.when(flat | F.col("_s").isNull(), F.lit(None).cast("double")).otherwise(F.col("_s")))
     order = Window.orderBy((F.col("place") >= pool).cast("int"), F.desc_nulls_last("_key"), "place")
     return s.withColumn("place", F.row_number().over(order) - 1).drop("_s", "_key")
+
+
+def routed(hits: DataFrame, limit: int, boost: float, top: int = 10) -> DataFrame:
+    """Hits (id, score, domain) with a boost for the commonest domain among the first `top`; among equals the one with the best hit, then the first by name."""
+    first = hits.orderBy(F.desc("score"), "id").limit(top)
+    best = first.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("s")).orderBy(F.desc("n"), F.desc("s"), "domain").limit(1).select(F.col("domain").alias("_routed"))
+    return hits.join(F.broadcast(best)).withColumn("score", F.col("score") + F.when(F.col("domain") == F.col("_routed"), boost).otherwise(0.0)).drop("_routed").orderBy(F.desc("score"), "id").limit(limit)
+
+
+def fused_rankings(a: DataFrame, b: DataFrame, k: int = 60, missing: int = 1_000_000) -> DataFrame:
+    """(id, score) of two rankings (id, place from 0): places count from 1, one that a ranking lacks is `missing`."""
+    j = a.select("id", F.col("place").alias("_a")).join(b.select("id", F.col("place").alias("_b")), "id", "full_outer")
+    part = lambda c: F.lit(1.0) / (k + F.coalesce(F.col(c) + 1, F.lit(missing)))
+    return j.select("id", (part("_a") + part("_b")).alias("score"))
+
+
+def probed(probes: DataFrame, tops: DataFrame) -> DataFrame:
+    """(qid, hit): does the first hit (qid, type, title, content, source_path) meet a probe's expectations (types, text, source; null: none)? Without a hit it does not."""
+    j = probes.join(tops.select("qid", "type", "title", "content", "source_path", F.lit(True).alias("_t")), "qid", "left")
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), "content", F.coalesce("source_path", F.lit("")))
+    ok = lambda want, c: F.col(want).isNull() | F.coalesce(c, F.lit(False))
+    return j.select("qid", (F.col("_t").isNotNull() & ok("types", F.array_contains("types", F.col("type"))) & ok("text", F.contains(text, F.col("text"))) & ok("source", F.contains("source_path", F.col("source")))).alias("hit"))
+
+
+def diffused(hits: DataFrame, links: DataFrame, *, damping: float = 0.5, rounds: int = 1) -> DataFrame:
+    """(id, score): scores of hits and what they pass on over links (src, dst), shared out among a node's links and damped each round."""
+    e = links.select("src", "dst").distinct()
+    e = e.join(e.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "src")
+    total, front = hits.select("id", "score"), hits.select("id", "score")
+    for _ in range(rounds):
+        front = e.join(front, F.col("src") == F.col("id")).groupBy("dst").agg((damping * F.sum(F.col("score") / F.col("n"))).alias("score")).select(F.col("dst").alias("id"), "score")
+        total = total.union(front)
+    return total.groupBy("id").agg(F.sum("score").alias("score"))
+
+
+def chunk_scores(scores: DataFrame) -> DataFrame:
+    """(id, best, mean_top2, by_root) of chunk scores (id, s): the largest, the mean of the two largest, the largest over the root of their number."""
+    w = Window.partitionBy("id").orderBy(F.desc("s"))
+    two = scores.withColumn("r", F.row_number().over(w)).where("r <= 2").groupBy("id").agg(F.max("s").alias("best"), F.avg("s").alias("mean_top2"))
+    n = scores.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return two.join(n, "id").select("id", "best", "mean_top2", (F.col("best") / F.sqrt("n")).alias("by_root"))
+
+
+def dispatch(rows: DataFrame, docs: DataFrame | None, query_vector: list[float], query: str, *, mode: str = "rrf", wide: int = 30, limit: int = 10, w_text: float = 0.1, w_exact: float = 1.5) -> tuple[DataFrame, dict]:
+    """Hybrid search by mode: 'rrf' (also for unknown modes) or 'cascade'.
+
+    The state names the mode that ran and the text channel's state. A query
+    that names one thing weighs its text hits more. Without a text table, or
+    with an empty query, the vectors answer alone.
+    """
+    from marlstone.operators import fulltext as T
+
+    mode = mode if mode in ("rrf", "cascade") else "rrf"
+    hits, state = T.search_with_status(docs, query, wide)
+    sem = V.nearest(rows, query_vector, wide).select("id", "score")
+    exact = rows.sparkSession.range(1).select(E.exact_identifier(F.lit(query)).alias("e")).first()["e"]
+    if state != "ok":
+        got = rrf([(ranked(sem), 1.0)]) if mode == "rrf" else sem
+    elif mode == "cascade":
+        return cascade(sem, hits, limit), {"mode": mode, "text": state}
+    else:
+        got = rrf([(ranked(sem), 1.0), (ranked(hits), w_exact if exact else w_text)])
+    return got.orderBy(F.desc("score"), "id").limit(limit), {"mode": mode, "text": state}

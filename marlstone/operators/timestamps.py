@@ -4,12 +4,15 @@ Every text is read in all ways that are valid for it: an array of
 interpretations (layout, instant). A Viterbi pass over each source's record
 order picks one per record, where leaving the declared conventions, switching
 the layout and stepping back in time cost. With conventions declared their
-price outweighs every path, so they decide; without, the neighbours do.
+price outweighs what any neighbour can save, so a reading outside is taken only
+where a value has no other; among several inside, and without declared
+conventions among all, the neighbours decide.
 
 The pass runs over blocks of consecutive records. A block's (min, +) matrix
 from its first to its last state is all that a later block needs, so no task
-holds a whole source: matrices are made per block, chained by a short scan over
-blocks, and each block is then traced back on its own.
+holds a whole source: matrices are made per block and multiplied to those of
+spans of SPAN blocks, the spans are chained, and spans and then blocks are
+traced back on their own.
 """
 
 from __future__ import annotations
@@ -25,8 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Prices of a path. Outside is larger than any sum of the others in a block of BLOCK records.
-SWITCH, BACK, OUTSIDE, BLOCK = 1.0, 1.5, 1e6, 4096
+from marlstone.runtime import cut
+
+#: Prices of a path. One record's choice changes two steps, so outside is dearer than any choice can save.
+SWITCH, BACK, OUTSIDE = 1.0, 1.5, 1e6
+#: Record numbers in a block, blocks in a span.
+BLOCK, SPAN = 4_096, 1_024
 
 #: Month names in English and German, by their first letters.
 _MONTHS = {
@@ -113,12 +120,14 @@ def interpretations(text: str | None, client_tz: str | None) -> list[tuple[str,
     client_tz names no zone). Missing time parts are zero, digits beyond
     microseconds are cut off. A wall time that occurs twice means the first; a
     skipped one moves forward by the gap. Nulls, blanks, relative words and
-    impossible dates have no reading.
+    impossible dates have no reading, nor has text of over 200 characters
+    without outer and doubled blanks, nor a number of over 17 digits (which would
+    be microseconds beyond the year 5000).
     """
-    if text is None or len(text) > 200:  # no time is that long
+    if text is None:
         return []
     s = " ".join(unicodedata.normalize("NFKC", text).split()).replace("−", "-")
-    if not s:
+    if not s or len(s) > 200:
         return []
     if m := _NUMBER.match(s):
         if len(m[2]) > 17:
@@ -206,13 +215,11 @@ def normalise_timestamps(df: DataFrame, *, key: str, text: str, tz: str, source:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [interpretations(t, z if isinstance(z, str) else None) for t, z in zip(b["text"], b["tz"])]
-            if declared is not None:  # a reading outside cannot win against one inside
-                got = [[x for x in g if x[0] in declared] or g for g in got]
             b = b.assign(layouts=[[n for n, _ in g] for g in got], instants=[[u for _, u in g] for g in got])
             yield b[[bool(g) for g in got]]
 
     read_rows = base.mapInPandas(read, "key bigint, text string, tz string, source string, layouts array<string>, instants array<bigint>")
-    read_rows = read_rows.withColumn("block", F.floor(F.col("key") / BLOCK).cast("bigint"))
+    read_rows = cut(read_rows.withColumn("block", F.floor(F.col("key") / BLOCK).cast("bigint")))  # reading is the costly part: once
 
     def states(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list]:
         pdf = pdf.sort_values(["key", "text", "tz"], kind="stable", na_position="first")
@@ -227,26 +234,47 @@ def normalise_timestamps(df: DataFrame, *, key: str, text: str, tz: str, source:
         end = _forward(rows, declared, start)[0][-1]
         return pd.DataFrame([{**first, "head_l": [n for n, _ in rows[0]], "head_u": [u for _, u in rows[0]], "tail_l": [n for n, _ in rows[-1]], "tail_u": [u for _, u in rows[-1]], "cost": end.ravel().tolist()}])
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        """For each block of one source, the state to enter and to leave by: a Viterbi pass over block matrices."""
+    def links(pdf: pd.DataFrame) -> list[tuple[list, list, np.ndarray]]:
+        out = []
+        for r in pdf.itertuples():
+            head, tail = list(zip(r.head_l, r.head_u)), list(zip(r.tail_l, r.tail_u))
+            out.append((head, tail, np.array(r.cost).reshape(len(head), len(tail))))
+        return out
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The matrices of one span's blocks as one."""
+        pdf = pdf.sort_values("block")
+        parts = links(pdf)
+        head, tail, m = parts[0]
+        for h, t, n in parts[1:]:
+            m = (m[:, :, None] + _step(tail, h)[None]).min(1)
+            m, tail = (m[:, :, None] + n[None]).min(1), t
+        return pd.DataFrame([{"source": pdf["source"].iloc[0], "block": pdf["span"].iloc[0], "head_l": [n for n, _ in head], "head_u": [u for _, u in head], "tail_l": [n for n, _ in tail], "tail_u": [u for _, u in tail], "cost": m.ravel().tolist()}])
+
+    def chain(pdf: pd.DataFrame, enter: int | None = None, leave: int | None = None) -> pd.DataFrame:
+        """For each matrix of a run, the state to enter and to leave by: a Viterbi pass over matrices, between given ends if there are any."""
         pdf = pdf.sort_values("block")
         ends, picks = None, []
-        for _, r in pdf.iterrows():
-            head, tail = list(zip(r["head_l"], r["head_u"])), list(zip(r["tail_l"], r["tail_u"]))
-            m = np.array(r["cost"]).reshape(len(head), len(tail))
-            into = np.zeros((1, len(head))) if ends is None else ends[0][None, :, None] + _step(ends[1], head)[None]
-            src = np.zeros(len(head), int) if ends is None else into[0].argmin(0)
-            cost_in = into[0] if ends is None else into[0].min(0)
+        for head, tail, m in links(pdf):
+            first = np.zeros(len(head)) if enter is None else np.where(np.arange(len(head)) == enter, 0.0, np.inf)
+            into = first[None, :] if ends is None else ends[0][:, None] + _step(ends[1], head)
+            src, cost_in = into.argmin(0), into.min(0)
             via = cost_in[:, None] + m
             picks.append((src, via.argmin(0)))
             ends = (via.min(0), tail)
-        out, last = [], int(ends[0].argmin())
+        out, last = [], int(ends[0].argmin()) if leave is None else leave
         for (src, heads), b in zip(reversed(picks), reversed(pdf["block"].tolist())):
             head = int(heads[last])
             out.append((pdf["source"].iloc[0], b, head, last))
             last = int(src[head])
         return pd.DataFrame(out, columns=["source", "block", "head", "tail"])
 
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        return chain(pdf)
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        return chain(pdf, int(pdf["head"].iloc[0]), int(pdf["tail"].iloc[0]))
+
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
         head, tail = int(pdf["head"].iloc[0]), int(pdf["tail"].iloc[0])
         pdf, rows = states(pdf)
@@ -256,9 +284,10 @@ def normalise_timestamps(df: DataFrame, *, key: str, text: str, tz: str, source:
         chosen = [r[i] for r, i in zip(rows, path)]
         return pd.DataFrame({"source": pdf["source"], "block": pdf["block"], "key": pdf["key"], "text": pdf["text"], "layout": [n for n, _ in chosen], "created_us": [u for _, u in chosen], "n_readings": [len(r) for r in rows]})
 
-    matrices = read_rows.groupBy(*blocks).applyInPandas(matrix, "source string, block bigint, head_l array<string>, head_u array<bigint>, tail_l array<string>, tail_u array<bigint>, cost array<double>")
-    picks = matrices.groupBy("source").applyInPandas(chain, "source string, block bigint, head int, tail int")
+    ends = "head_l array<string>, head_u array<bigint>, tail_l array<string>, tail_u array<bigint>, cost array<double>"
+    picked = "source string, block bigint, head int, tail int"
+    matrices = cut(read_rows.groupBy(*blocks).applyInPandas(matrix, "source string, block bigint, " + ends).withColumn("span", F.floor(F.col("block") / SPAN).cast("bigint")))
+    spans = matrices.groupBy("source", "span").applyInPandas(product, "source string, block bigint, " + ends).groupBy("source").applyInPandas(across, picked)
+    picks = matrices.join(spans.withColumnRenamed("block", "span"), ["source", "span"]).groupBy("source", "span").applyInPandas(inside, picked)
     chosen = read_rows.join(picks, blocks).groupBy(*blocks).applyInPandas(trace, kinds)
     return chosen.select(F.col("key"), "text", "layout", "created_us", "n_readings")
-
-

@@ -160,6 +160,7 @@ class _Parser:
         self.need("RETURN")
         distinct = self.take("DISTINCT")
         picked: list[Column] = []
+        names: dict[str, str] = {}  # as written, as returned
         grouped = False
         if not self.take("*"):
             while True:
@@ -173,14 +174,25 @@ class _Parser:
                     at = self.i
                     c = self.expression(column)
                     default = "_".join(x for k, x in self.t[at : self.i] if k in ("word", "num")) or "value"
-                picked.append(c.alias(self.name() if self.take("AS") else default))
+                alias = self.name() if self.take("AS") else default
+                names |= {default: alias, alias: alias}
+                picked.append(c.alias(alias))
                 if not self.take(","):
                     break
         orders = []
         if self.take("ORDER"):
             self.need("BY")
             while True:
-                c = self.expression(column)
+                at = self.i
+                text = "_".join(self.t[j][1] for j in range(at, len(self.t)) if self.t[j][0] == "word" and all(self.t[k][1] not in (",",) and self.t[k][1].upper() not in ("DESC", "ASC", "LIMIT", "OFFSET") for k in range(at, j + 1)))
+                if (distinct or grouped) and picked:  # what is returned is sorted, so it must be among it
+                    if text not in names:
+                        raise QueryError(f"{text} is not returned")
+                    while not self.peek("DESC", "ASC", ",", "LIMIT", "OFFSET") and self.i < len(self.t):
+                        self.i += 1
+                    c = F.col(f"`{names[text]}`")
+                else:
+                    c = self.expression(column)
                 orders.append(F.desc_nulls_first(c) if self.take("DESC") else c.asc())
                 self.take("ASC")
                 if not self.take(","):
@@ -193,15 +205,18 @@ class _Parser:
             raise QueryError(f"unknown parameters {sorted(spare)}")
         if n is not None and (not isinstance(n, int) or n < 0) or not isinstance(skip, int) or skip < 0:
             raise QueryError("LIMIT and OFFSET take whole numbers")
+        first = picked and (distinct or grouped)
+        if first:
+            df = df.agg(*picked) if grouped else df.select(*picked)
+        if distinct:
+            df = df.distinct()
         if orders:
             df = df.orderBy(*orders)
         if skip:
             df = df.offset(skip)
         if n is not None:
             df = df.limit(n)
-        if picked:
-            df = df.agg(*picked) if grouped else df.select(*picked)
-        return df.distinct() if distinct else df
+        return df.select(*picked) if picked and not first else df
 
 
 def query(text: str, nodes: DataFrame, edges: DataFrame | None = None, given: dict[str, Any] | None = None) -> DataFrame:
@@ -210,7 +225,7 @@ def query(text: str, nodes: DataFrame, edges: DataFrame | None = None, given: di
     if p.take("FIND"):
         spec = p.document() if p.peek("{") else {}
         try:
-            found = nodes.where(condition(spec))
+            found = nodes.where(condition(spec, nodes.columns))
         except ValueError as e:
             raise QueryError(str(e)) from e
 

@@ -12,7 +12,7 @@ from marlstone.operators import graph as G
 from marlstone.operators import retrieval as X
 from marlstone.operators import vector as V
 from marlstone.plans.registry import VIEWS, Registry
-from marlstone.plans.relations import _query
+from marlstone.plans.relations import GRAMS_SQL, _query
 from marlstone.runtime import table
 from marlstone.sources import store as S
 
@@ -37,16 +37,15 @@ def f16_overlap(spark: SparkSession, d: str) -> DataFrame:
     return S.nodes(spark, d).select("id", E.overlap(F.col("valid_at"), F.col("invalid_at"), F.lit(1_760_000_000.0), F.lit(1_765_000_000.0)).alias("meets"))
 
 
-@R.add(r"SELECT request_id, trim(content) = '' OR starts_with(trim(content), '/') OR regexp_matches(trim(content), '(?i)^(ok|yes|no|thanks|hi)\b.{0,12}$') AS trivial FROM req")
+@R.add(r"SELECT request_id, c = '' OR starts_with(c, '/') OR regexp_matches(c, '(?i)^(yes|no|ok|okay|sure|thanks|thank you|y|n|yep|nope|yeah|nah|hi|hey|hello|yo|sup|continue|go ahead|do it|proceed|got it|cool|nice|great|done|next|lgtm|k)[[:punct:]\s‘’“”—–…\x{00a0}]*$') AS trivial FROM (SELECT request_id, regexp_replace(coalesce(content, ''), '^[\s\x{00a0}\x{3000}]+|[\s\x{00a0}\x{3000}]+$', '', 'g') AS c FROM req)")
 def f28_trivial(spark: SparkSession, d: str) -> DataFrame:
-    c = F.trim("content")
-    return S.requests(spark, d).select("request_id", ((c == "") | c.startswith("/") | c.rlike(r"(?i)^(ok|yes|no|thanks|hi)\b.{0,12}$")).alias("trivial"))
+    return S.requests(spark, d).select("request_id", E.trivial(F.col("content")).alias("trivial"))
 
 
-@R.add("SELECT a.id AS a, b.id AS b FROM vec a JOIN vec b ON a.id < b.id AND list_cosine_similarity(a.v, b.v) > 0.55")
+@R.add("SELECT a.id AS a, b.id AS b FROM vec a JOIN vec b ON a.id < b.id AND a.label = b.label AND list_cosine_similarity(a.v, b.v) > 0.42")
 def j10_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """Above the threshold, not at it; no regard to types."""
-    return V.similar_rows(S.vectors(spark, d), least=0.5).where("score > 0.55").select("a", "b")
+    """Of one kind and above the threshold, not at it."""
+    return V.similar_rows(S.vectors(spark, d), least=0.42, gate="label").where("score > 0.42").select("a", "b")
 
 
 @R.add("SELECT src, dst FROM ed WHERE label = 'SKILL_RELATED_TO' UNION SELECT dst, src FROM ed WHERE label = 'SKILL_RELATED_TO'")
@@ -119,8 +118,9 @@ def o1_rounded_first(spark: SparkSession, d: str) -> DataFrame:
     return S.vectors(spark, d).select("id", F.round(E.cosine(F.col("v"), q), 4).alias("score")).orderBy(F.desc("score"), "id").limit(15)
 
 
-@R.add("SELECT dst AS id, max(weight) AS weight FROM ed WHERE src = 'index/home.md' AND weight >= 0.5 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
-def o7_heaviest_neighbours(spark: SparkSession, d: str, start: str = "index/home.md") -> DataFrame:
+@R.add("SELECT dst AS id, max(weight) AS weight FROM ed WHERE src = (SELECT p FROM hub) AND weight >= 0.5 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def o7_heaviest_neighbours(spark: SparkSession, d: str, start: str | None = None) -> DataFrame:
+    start = start or S.hub(spark, d)
     return G.neighbours(S.edges(spark, d), start, 1, least=0.5, limit=10).select("id", "weight")
 
 
@@ -134,10 +134,19 @@ def u5_distinct(spark: SparkSession, d: str) -> DataFrame:
     return S.edges(spark, d).select("label", "src").dropDuplicates()
 
 
-@R.add("SELECT i, g FROM (SELECT unnest(generate_series(0, len(a) - 1)) AS i, unnest(a) AS g FROM (SELECT ['" + "','".join(T.query_grams("the merge gate and the daily digest")) + "'] AS a))")
+@R.add(GRAMS_SQL.replace("QUESTIONS", "SELECT item_id AS q, query FROM eval_items") + "SELECT q AS item_id, i, g FROM asked")
 def r15_query_grams(spark: SparkSession, d: str) -> DataFrame:
-    grams = T.query_grams("the merge gate and the daily digest")
-    return spark.createDataFrame(list(enumerate(grams)), "i long, g string")
+    """The grams of every question, in their order."""
+    return table(spark, d, "eval_items").select("item_id", F.posexplode(T.query_grams(F.col("query"))).alias("i", "g")).select("item_id", F.col("i").cast("bigint").alias("i"), "g")
+
+
+@R.add("SELECT item_id, CAST(unnest(list_transform(range(5), lambda i: CASE WHEN n <= 5 THEN CASE WHEN i < n THEN i END ELSE round_even(i * (n - 1) / 4.0, 0) END)) AS BIGINT) AS place FROM (SELECT item_id, length(query) AS n FROM eval_items)")
+def r16_even_places(spark: SparkSession, d: str) -> DataFrame:
+    """Five characters' places of every question, evenly spread; shorter questions have a null for each place they lack."""
+    places = T.even_sample(F.sequence(F.lit(0), F.char_length("query") - 1), 5)
+    five = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.get(places, i))
+    rows = F.when(F.char_length("query") > 0, five).otherwise(F.array_repeat(F.lit(None).cast("int"), 5))
+    return table(spark, d, "eval_items").select("item_id", F.explode(rows).alias("place")).withColumn("place", F.col("place").cast("bigint"))
 
 
 _TEXT = "the merge gate"
@@ -190,8 +199,9 @@ def r46_nearest_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("type").agg(at(F.lit(0.5)).alias("p50"), at(F.lit(0.9)).alias("p90"))
 
 
-@R.add("SELECT e.dst AS id, round(max(0.5 * e.weight), 4) AS score FROM ed e WHERE e.src IN (SELECT dst FROM ed WHERE src = 'index/home.md') GROUP BY 1")
-def g15_passed_scores(spark: SparkSession, d: str, start: str = "index/home.md") -> DataFrame:
+@R.add("SELECT e.dst AS id, round(max(0.5 * e.weight), 4) AS score FROM ed e WHERE e.src IN (SELECT dst FROM ed WHERE src = (SELECT p FROM hub)) GROUP BY 1")
+def g15_passed_scores(spark: SparkSession, d: str, start: str | None = None) -> DataFrame:
+    start = start or S.hub(spark, d)
     e = S.edges(spark, d)
     seeds = e.where(F.col("src") == start).select(F.col("dst").alias("src")).distinct()
     return e.join(seeds, "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.round(F.max(0.5 * F.col("weight")), 4).alias("score"))

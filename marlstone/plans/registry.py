@@ -40,6 +40,7 @@ raw_ed AS (
          nullif(regexp_replace(replace(regexp_replace(target, '^\s+|\s+$', '', 'g'), '\', '/'), '^\./', ''), '') AS dst,
          upper(trim(relation)) AS label, coalesce(weight, 1.0) AS weight FROM graph_edges),
 ed AS (SELECT src, dst, label, max(weight) AS weight FROM raw_ed WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY ALL),
+hub AS (SELECT src AS p FROM ed GROUP BY src ORDER BY count(DISTINCT dst) DESC, src LIMIT 1),
 req AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY received_at) AS n FROM mem_ingest_request) WHERE n = 1),
 flinks AS (SELECT DISTINCT src, dst FROM (SELECT node_id AS src, unnest(superseded) AS dst FROM mem_fact_history) WHERE src <> dst),
 ch AS (SELECT * FROM (SELECT node_id, chunk_idx, arg_max(struct_pack(chunk_text, vector, dim, model), updated_at) AS v FROM node_chunks GROUP BY ALL)),

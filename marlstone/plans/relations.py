@@ -44,8 +44,8 @@ def j2_one_or_two_hops(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add(f"""
-, hub AS (SELECT id, list_cosine_similarity(v, (SELECT v FROM vec ORDER BY id LIMIT 1)) AS s FROM vec),
-main AS (SELECT 1000 + id AS id, s AS score FROM hub WHERE s > 0.1),
+, hv AS (SELECT id, list_cosine_similarity(v, (SELECT v FROM vec ORDER BY id LIMIT 1)) AS s FROM vec),
+main AS (SELECT 1000 + id AS id, s AS score FROM hv WHERE s > 0.1),
 cs AS (SELECT node_id AS id, max(list_cosine_similarity(CAST(v.vector AS DOUBLE[]), (SELECT v FROM vec ORDER BY id LIMIT 1))) AS c FROM ch
   WHERE v.model = 'local:memvec-base' AND v.dim = 64 AND len(v.vector) = 64 AND len(list_filter(v.vector, lambda x: x <> 0)) > 0 GROUP BY 1)
 SELECT coalesce(m.id, c.id) AS id, round(greatest(coalesce(m.score, 0), coalesce(c.c, 0)), 6) AS score FROM main m FULL JOIN cs c ON m.id = c.id""")
@@ -76,9 +76,10 @@ def j5_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add("""
-, hits AS (SELECT dst AS id FROM ed WHERE src = 'index/home.md' UNION SELECT 'index/home.md')
+, hits AS (SELECT dst AS id FROM ed WHERE src = (SELECT p FROM hub) UNION SELECT (SELECT p FROM hub))
 SELECT id, via, weight FROM (SELECT e.dst AS id, e.src AS via, e.weight, row_number() OVER (PARTITION BY e.dst ORDER BY e.weight DESC, e.src, e.label) AS r FROM ed e JOIN hits h ON e.src = h.id WHERE e.dst NOT IN (SELECT id FROM hits)) WHERE r = 1""")
-def j6_neighbour_region(spark: SparkSession, d: str, start: str = HOME) -> DataFrame:
+def j6_neighbour_region(spark: SparkSession, d: str, start: str | None = None) -> DataFrame:
+    start = start or S.hub(spark, d)
     e = S.edges(spark, d)
     hits = e.where(F.col("src") == start).select(F.col("dst").alias("id")).union(spark.createDataFrame([(start,)], "id string")).distinct()
     around = e.join(hits, e["src"] == hits["id"]).select(F.col("dst").alias("id"), F.col("src").alias("via"), "weight", "label").join(hits, "id", "left_anti")
@@ -95,7 +96,7 @@ def j8_similar_pairs(spark: SparkSession, d: str) -> DataFrame:
 FROM vec a JOIN vec b ON a.id < b.id AND a.label = b.label AND list_cosine_similarity(a.v, b.v) > 0.45""")
 def j9_conflicts(spark: SparkSession, d: str) -> DataFrame:
     v = S.vectors(spark, d)
-    pairs = C.with_ends(V.similar_rows(v, least=0.45), v, ["label"]).where("a_label = b_label")
+    pairs = C.with_ends(V.similar_rows(v, least=0.45, gate="label"), v, ["label"])
     return pairs.select("a", "b", C.verdict(F.col("score"), F.lit(True), 0.45, 0.55).alias("verdict")).where("verdict <> 'ignore'")
 
 
@@ -121,22 +122,10 @@ def j13_linked_from(spark: SparkSession, d: str) -> DataFrame:
     return links.join(n.where(F.col("type").isin(*S.SLICES)).select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-@R.add(r"""
-, names AS (SELECT DISTINCT lower(character_name) AS name FROM cur WHERE regexp_full_match(character_name, '[A-Za-z]{4,}')),
-words AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content), '[a-z]+')) AS w FROM cur)
-SELECT w.id, n.name FROM words w JOIN names n ON w.w = n.name""")
-def j14_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Names in contents: an equi-join on words, not a contains join of all with all."""
-    n = S.nodes(spark, d)
-    names = n.select(F.lower("character_name").alias("name")).where("name rlike '^[a-z]{4,}$'").distinct()
-    words = n.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]+"), F.lit(0)))).alias("name"))
-    return words.join(names, "name", "left_semi").select("id", "name")
-
-
 @R.add("""
 , names AS (SELECT DISTINCT lower(trim(character_name)) AS name FROM cur WHERE length(trim(character_name)) >= 2)
 SELECT c.id, n.name FROM cur c JOIN names n ON contains(lower(c.content), n.name)""")
-def j14_all_mentions(spark: SparkSession, d: str) -> DataFrame:
+def j14_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Names of two or more characters of any script anywhere in contents: an equi-join on their first two characters, then the whole name."""
     n = S.nodes(spark, d)
     names = n.select(F.lower(F.trim("character_name")).alias("name")).where("char_length(name) >= 2").distinct().withColumn("gram", F.substring("name", 1, 2))
@@ -146,12 +135,19 @@ def j14_all_mentions(spark: SparkSession, d: str) -> DataFrame:
     return held.join(texts, "id").where(F.contains("content", "name")).select("id", "name")
 
 
-@R.add(r", named AS (SELECT dst AS p, regexp_extract(dst, '([^/]+)\.md$', 1) AS name FROM ed UNION SELECT src, regexp_extract(src, '([^/]+)\.md$', 1) FROM ed) SELECT a.src, b.p AS twin FROM (SELECT DISTINCT src FROM ed WHERE label = 'WIKI_LINK') a JOIN named n ON n.p = a.src JOIN named b ON b.name = n.name AND b.p <> a.src WHERE n.name <> ''")
-def j15_same_name(spark: SparkSession, d: str) -> DataFrame:
+@R.add(r"""
+, pages AS (SELECT src AS p FROM ed UNION SELECT dst FROM ed), named AS (SELECT p, regexp_extract(p, '([^/]+?)(\.md)?$', 1) AS name FROM pages),
+texts AS (SELECT src, string_agg('see [[' || regexp_extract(dst, '([^/]+?)(\.md)?$', 1) || '|there]]', ' ') AS text FROM ed WHERE label = 'WIKI_LINK' GROUP BY src),
+links AS (SELECT src, unnest(regexp_extract_all(text, '\[\[([^\]|#]+)', 1)) AS name FROM texts)
+SELECT DISTINCT l.src, n.p AS dst FROM links l JOIN named n USING (name) WHERE n.p <> l.src""")
+def j15_wiki_links(spark: SparkSession, d: str) -> DataFrame:
+    """[[name]] in a page's text, to every page whose file has that name, once a pair; the texts are written from the WIKI_LINK edges."""
     e = S.edges(spark, d)
-    named = e.select(F.col("src").alias("p")).union(e.select("dst")).distinct().withColumn("name", F.regexp_extract("p", r"([^/]+)\.md$", 1)).where("name <> ''")
-    src = e.where("label = 'WIKI_LINK'").select("src").distinct().join(named.withColumnRenamed("p", "src"), "src")
-    return src.join(named, "name").where("p <> src").select("src", F.col("p").alias("twin"))
+    base = lambda c: F.regexp_extract(c, r"([^/]+?)(\.md)?$", 1)
+    texts = e.where("label = 'WIKI_LINK'").groupBy("src").agg(F.concat_ws(" ", F.collect_list(F.concat(F.lit("see [["), base("dst"), F.lit("|there]]")))).alias("text"))  # one page's text
+    named = e.select(F.col("src").alias("dst")).union(e.select("dst")).distinct().withColumn("name", base("dst"))
+    links = texts.select("src", F.explode(E.wiki_names(F.col("text"))).alias("name"))
+    return links.join(named, "name").where("dst <> src").select("src", "dst").distinct()
 
 
 @R.add("""
@@ -165,16 +161,19 @@ def j17_follows(spark: SparkSession, d: str) -> DataFrame:
     return n.where("next_user_id = user_id and next_t - t <= 1800000000").select(F.col("event_id").alias("src"), F.col("next_event_id").alias("dst"))
 
 
-@R.add("SELECT id, part FROM (SELECT id, min(id) OVER (PARTITION BY source_path) AS part FROM cur WHERE source_path IS NOT NULL) WHERE id <> part")
+@R.add("SELECT node_id, chunk_idx, first FROM (SELECT node_id, chunk_idx, min(chunk_idx) OVER (PARTITION BY node_id) AS first FROM ch) WHERE chunk_idx <> first")
 def j19_part_of(spark: SparkSession, d: str) -> DataFrame:
-    n = S.nodes(spark, d).where("source_path is not null")
-    return n.join(n.groupBy("source_path").agg(F.min("id").alias("part")), "source_path").where("id <> part").select("id", "part")
+    """Every member of a file to its first member; files are nodes, members their chunks."""
+    c = S.chunks(spark, d).select("node_id", "chunk_idx")
+    return c.join(c.groupBy("node_id").agg(F.min("chunk_idx").alias("first")), "node_id").where("chunk_idx <> first")
 
 
-@R.add("SELECT src, dst FROM flinks l WHERE NOT EXISTS (SELECT 1 FROM flinks r WHERE r.src = l.dst AND r.dst = l.src)")
-def j20_one_way(spark: SparkSession, d: str) -> DataFrame:
-    f = S.fact_links(spark, d)
-    return f.join(f.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
+@R.add(", cand AS (SELECT dst AS src, src AS dst, label FROM ed WHERE label IN ('RELATED_TO', 'WIKI_LINK', 'NEXT') UNION SELECT src, src, label FROM ed UNION SELECT src, dst, label FROM ed WHERE weight > 0.5) SELECT DISTINCT src, dst, label FROM cand c WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM ed e WHERE e.src = c.src AND e.dst = c.dst AND e.label = c.label)")
+def j20_new_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Of candidate edges (ways back, loops, known ones) those that are neither loops nor there already."""
+    e = S.edges(spark, d)
+    cand = e.where("label in ('RELATED_TO', 'WIKI_LINK', 'NEXT')").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "label").union(e.select("src", "src", "label")).union(e.where("weight > 0.5").select("src", "dst", "label"))
+    return cand.where("src <> dst").distinct().join(e, ["src", "dst", "label"], "left_anti")
 
 
 @R.add("SELECT coalesce(c.id, k.node_id) AS id, CASE WHEN c.id IS NULL THEN 'stale' ELSE 'missing' END AS state FROM cur c FULL JOIN (SELECT DISTINCT node_id FROM ch) k ON c.id = k.node_id WHERE c.id IS NULL OR k.node_id IS NULL")
@@ -210,18 +209,20 @@ def j26_version_chain(spark: SparkSession, d: str) -> DataFrame:
 # ---- graph
 
 @R.add("""
-, h1 AS (SELECT dst AS id, 1 AS hop, max(weight) AS weight FROM ed WHERE src = 'index/home.md' GROUP BY dst),
-h2 AS (SELECT e.dst AS id, 2 AS hop, max(e.weight) AS weight FROM ed e JOIN h1 ON e.src = h1.id WHERE e.dst NOT IN (SELECT id FROM h1) AND e.dst <> 'index/home.md' GROUP BY e.dst)
+, h1 AS (SELECT dst AS id, 1 AS hop, max(weight) AS weight FROM ed WHERE src = (SELECT p FROM hub) GROUP BY dst),
+h2 AS (SELECT e.dst AS id, 2 AS hop, max(e.weight) AS weight FROM ed e JOIN h1 ON e.src = h1.id WHERE e.dst NOT IN (SELECT id FROM h1) AND e.dst <> (SELECT p FROM hub) GROUP BY e.dst)
 SELECT * FROM h1 UNION ALL SELECT * FROM h2""")
-def g1_neighbours(spark: SparkSession, d: str, start: str = HOME) -> DataFrame:
+def g1_neighbours(spark: SparkSession, d: str, start: str | None = None) -> DataFrame:
+    start = start or S.hub(spark, d)
     return G.neighbours(S.edges(spark, d), start, 2).select("id", "hop", "weight")
 
 
 @R.add("""
-, nw AS (SELECT dst AS src, 'index/home.md' AS dst, 'RELATED_TO' AS label, 0.5 AS weight FROM ed WHERE src = 'index/home.md'),
+, nw AS (SELECT dst AS src, (SELECT p FROM hub) AS dst, 'RELATED_TO' AS label, 0.5 AS weight FROM ed WHERE src = (SELECT p FROM hub)),
 al AS (SELECT src, dst, label, weight FROM nw UNION SELECT dst, src, label, weight FROM nw)
 SELECT * FROM ed UNION ALL SELECT DISTINCT a.src, a.dst, a.label, CAST(a.weight AS DOUBLE) FROM al a WHERE a.src <> a.dst AND NOT EXISTS (SELECT 1 FROM ed e WHERE e.src = a.src AND e.dst = a.dst AND e.label = a.label)""")
-def g2_link(spark: SparkSession, d: str, start: str = HOME) -> DataFrame:
+def g2_link(spark: SparkSession, d: str, start: str | None = None) -> DataFrame:
+    start = start or S.hub(spark, d)
     e = S.edges(spark, d)
     new = e.where(F.col("src") == start).select(F.col("dst").alias("src"), F.lit(start).alias("dst"), F.lit("RELATED_TO").alias("label"), F.lit(0.5).alias("weight")).distinct()
     return G.link(e, new)
@@ -254,37 +255,20 @@ def g5_pagerank(spark: SparkSession, d: str) -> DataFrame:
     return G.pagerank(S.edges(spark, d)).withColumn("rank", F.round("rank", 8))
 
 
-@R.add(_pagerank_sql("CASE WHEN id = 'index/home.md' THEN 1.0 ELSE 0.0 END"))
-def g6_personal_pagerank(spark: SparkSession, d: str, start: str = HOME) -> DataFrame:
+@R.add(_pagerank_sql("CASE WHEN id = (SELECT p FROM hub) THEN 1.0 ELSE 0.0 END"))
+def g6_personal_pagerank(spark: SparkSession, d: str, start: str | None = None) -> DataFrame:
+    start = start or S.hub(spark, d)
     seeds = spark.createDataFrame([(start,)], "id string")
     return G.pagerank(S.edges(spark, d), seeds=seeds).withColumn("rank", F.round("rank", 8))
 
 
-@R.add(""", und AS (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed), reach AS (SELECT a AS id, a AS other FROM und UNION SELECT r.id, u.b FROM reach r JOIN und u ON u.a = r.other) SELECT id, min(other) AS component FROM reach GROUP BY id""")
-def g7_components(spark: SparkSession, d: str) -> DataFrame:
-    return G.components(S.edges(spark, d))
-
-
-R.sql["g7_components"] = VIEWS + """
-, und AS (SELECT src AS a, dst AS b FROM ed WHERE label = 'CAUSES' UNION SELECT dst, src FROM ed WHERE label = 'CAUSES'),
-reach AS (SELECT a AS id, a AS other FROM und UNION SELECT r.id, u.b FROM reach r JOIN und u ON u.a = r.other)
-SELECT id, min(other) AS component FROM reach GROUP BY id"""
-
-
-def _causes(spark: SparkSession, d: str) -> DataFrame:
-    return G.components(S.edges(spark, d).where("label = 'CAUSES'"))
-
-
-R.queries["g7_components"] = _causes
-
-
 @R.add("""
 , und AS (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed),
 low(id, component) USING KEY (id) AS (SELECT a, min(a) FROM und GROUP BY a
   UNION SELECT u.b, min(c.component) FROM low c JOIN und u ON u.a = c.id JOIN recurring.low r ON r.id = u.b WHERE c.component < r.component GROUP BY u.b)
 SELECT id, component FROM low""")
-def g7_all_components(spark: SparkSession, d: str) -> DataFrame:
-    """Components over the edges of all labels; g7_components has those of CAUSES alone."""
+def g7_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components over the edges of all labels."""
     return G.components(S.edges(spark, d))
 
 
@@ -300,31 +284,43 @@ def g9_label_propagation(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("""
 , pe AS (SELECT DISTINCT src, dst FROM ed),
-bfs AS (SELECT 'index/home.md' AS id, 0 AS hops UNION SELECT e.dst, b.hops + 1 FROM bfs b JOIN pe e ON e.src = b.id WHERE b.hops < 6)
-SELECT id, min(hops) AS hops, min(hops) + 1 AS nodes FROM bfs GROUP BY id""")
-def g10_shortest_paths(spark: SparkSession, d: str, start: str = HOME, most: int | None = 6) -> DataFrame:
-    p = G.shortest_paths(S.edges(spark, d), start, most=most)
-    return p.select("id", "hops", F.size("path").alias("nodes"))
+bfs(id, hops) USING KEY (id) AS (SELECT (SELECT p FROM hub), 0
+  UNION SELECT e.dst, min(b.hops) + 1 FROM bfs b JOIN pe e ON e.src = b.id WHERE e.dst NOT IN (SELECT id FROM recurring.bfs) GROUP BY e.dst)
+SELECT id, hops, hops + 1 AS nodes FROM bfs""")
+def g10_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Shortest paths to all that can be reached, however many hops it takes."""
+    return G.shortest_paths(S.edges(spark, d), S.hub(spark, d)).select("id", "hops", F.size("path").alias("nodes"))
 
 
-@R.add("SELECT src, dst, label, 'dst' AS missing FROM ed WHERE dst NOT IN (SELECT src FROM ed)")
+@R.add(", ids AS (SELECT src AS id FROM ed WHERE label = 'PART_OF') SELECT src, dst, label, 'dst' AS missing FROM ed WHERE dst NOT IN (SELECT id FROM ids) UNION ALL SELECT src, dst, label, 'src' FROM ed WHERE src NOT IN (SELECT id FROM ids)")
 def g13_dangling(spark: SparkSession, d: str) -> DataFrame:
+    """Edges with an end that is no page of the tree (the children of PART_OF)."""
     e = S.edges(spark, d)
-    return G.dangling(e, e.select(F.col("src").alias("id"))).where("missing = 'dst'")
+    return G.dangling(e, e.where("label = 'PART_OF'").select(F.col("src").alias("id")))
 
 
 @R.add("""
+, m AS (SELECT node_id, chunk_idx, node_id || ':' || chunk_idx AS id FROM ch)
 SELECT src, dst, label FROM (
-  SELECT id AS src, lead(id) OVER (PARTITION BY source_path ORDER BY chunk_index, id) AS dst, 'NEXT' AS label FROM cur WHERE source_path IS NOT NULL
-  UNION ALL SELECT id, min(id) OVER (PARTITION BY source_path), 'PART_OF' FROM cur WHERE source_path IS NOT NULL
-  UNION ALL SELECT id, dst, 'REFERENCES' FROM (SELECT id, unnest(linked_from) AS dst FROM cur) WHERE dst IN (SELECT id FROM cur)) WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL""")
+  SELECT id AS src, lead(id) OVER (PARTITION BY node_id ORDER BY chunk_idx) AS dst, 'NEXT' AS label FROM m
+  UNION ALL SELECT id, first_value(id) OVER (PARTITION BY node_id ORDER BY chunk_idx), 'PART_OF' FROM m
+  UNION ALL SELECT CAST(id AS VARCHAR), CAST(dst AS VARCHAR), 'REFERENCES' FROM (SELECT id, unnest(linked_from) AS dst FROM cur) WHERE dst IN (SELECT id FROM cur)
+  UNION ALL SELECT src, dst, 'SKILL_RELATED_TO' FROM (SELECT src, dst FROM ed WHERE label = 'SKILL_RELATED_TO' UNION SELECT dst, src FROM ed WHERE label = 'SKILL_RELATED_TO')
+  UNION ALL SELECT src, dst, 'FOLLOWS' FROM (SELECT CAST(event_id AS VARCHAR) AS src, CAST(lead(event_id) OVER w AS VARCHAR) AS dst, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE gap <= 1800000000)
+WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL""")
 def g14_structural_edges(spark: SparkSession, d: str) -> DataFrame:
-    n = S.nodes(spark, d)
-    filed = n.where("source_path is not null")
-    nxt = filed.select(F.col("id").alias("src"), F.lead("id").over(Window.partitionBy("source_path").orderBy("chunk_index", "id")).alias("dst"), F.lit("NEXT").alias("label"))
-    part = filed.join(filed.groupBy("source_path").agg(F.min("id").alias("dst")), "source_path").select(F.col("id").alias("src"), "dst", F.lit("PART_OF").alias("label"))
-    refs = n.select(F.col("id").alias("src"), F.explode("linked_from").alias("dst")).join(n.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", F.lit("REFERENCES").alias("label"))
-    return nxt.union(part).union(refs).where("dst is not null and src <> dst").distinct()
+    """Edges that follow from structure: order and head of a file's chunks, references between nodes, names in both directions, events of one user within half an hour."""
+    n, e = S.nodes(spark, d), S.edges(spark, d)
+    m = S.chunks(spark, d).select("node_id", "chunk_idx", F.concat_ws(":", "node_id", "chunk_idx").alias("id"))
+    nxt = m.select(F.col("id").alias("src"), F.lead("id").over(Window.partitionBy("node_id").orderBy("chunk_idx")).alias("dst"), F.lit("NEXT").alias("label"))
+    part = m.join(m.groupBy("node_id").agg(F.min_by("id", "chunk_idx").alias("dst")), "node_id").select(F.col("id").alias("src"), "dst", F.lit("PART_OF").alias("label"))
+    refs = n.select(F.col("id").alias("src"), F.explode("linked_from").alias("dst")).join(n.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.lit("REFERENCES").alias("label"))
+    skill = e.where("label = 'SKILL_RELATED_TO'").select("src", "dst", "label")
+    both = skill.union(skill.select("dst", "src", "label"))
+    user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ev = table(spark, d, "events").select(F.col("event_id").cast("string").alias("src"), F.lead(F.col("event_id").cast("string")).over(user).alias("dst"), F.timestamp_diff("MICROSECOND", F.col("ts").cast("timestamp_ntz"), F.lead(F.col("ts").cast("timestamp_ntz")).over(user)).alias("gap"))
+    follows = ev.where("gap <= 1800000000").select("src", "dst", F.lit("FOLLOWS").alias("label"))
+    return nxt.union(part).union(refs).union(both).union(follows).where("dst is not null and src <> dst").distinct()
 
 
 # ---- retrieval
@@ -361,16 +357,16 @@ def r6_freshness(spark: SparkSession, d: str) -> DataFrame:
     return S.nodes(spark, d).select("id", F.round(E.freshness(age, 90), 6).alias("fresh"))
 
 
-_SUPPORT = {r"https?://\S+": 0.8, r"(?i)node\s*\d+": 0.6, r"(?i)\bPR\s*#\d+\b": 1.0, "测试": 0.7}
-
-
-@R.add(r"""SELECT id, round(r / (r + s + 2), 6) AS belief FROM (SELECT id,
-  CASE WHEN coalesce(source_path, '') <> '' THEN 0.9 ELSE 0 END + CASE WHEN regexp_matches(content, 'https?://\S+') THEN 0.8 ELSE 0 END + CASE WHEN regexp_matches(content, '(?i)node\s*\d+') THEN 0.6 ELSE 0 END
-  + CASE WHEN regexp_matches(content, '(?i)\bPR\s*#\d+\b') THEN 1.0 ELSE 0 END + CASE WHEN contains(content, '测试') THEN 0.7 ELSE 0 END AS r,
-  CASE WHEN status = 'outdated' THEN 1.0 ELSE 0 END + CASE WHEN contains(content, '没有证据') THEN 0.3 ELSE 0 END AS s FROM cur)""")
+@R.add(r"""SELECT id, round(r / (r + s + 2), 6) AS b, round(s / (r + s + 2), 6) AS d, round(2 / (r + s + 2), 6) AS u FROM (SELECT id,
+  CASE WHEN coalesce(source_path, '') <> '' THEN 0.9 ELSE 0 END + CASE WHEN type = 'git_commit' AND map_contains(coalesce(meta, MAP {}), 'commit') THEN 1.0 ELSE 0 END
+  + CASE WHEN len(list_filter(regexp_extract_all(content, '(?i)\b[0-9a-f]{7,40}\b'), lambda x: regexp_matches(x, '(?i)[a-f]'))) > 0 OR regexp_matches(content, '(?i)\bPR\s*#\d+\b') THEN 1.0 ELSE 0 END
+  + CASE WHEN regexp_matches(content, '[A-Za-z]:[\\/][^\s，。；、）)\]]{3,}|(^|[^\w/])/(home|mnt|tmp|d)/[^\s]{3,}') THEN 0.8 ELSE 0 END
+  + CASE WHEN regexp_matches(content, 'https?://[^\s，。）)]+') THEN 0.8 ELSE 0 END + CASE WHEN regexp_matches(content, '(?i)node\s*\d+|节点\s*\d+') THEN 0.6 ELSE 0 END
+  + CASE WHEN regexp_matches(content, '实测|跑出来|测试通过|复跑|验证过|exit code|全绿|全过|断言') THEN 0.7 ELSE 0 END AS r,
+  CASE WHEN status = 'outdated' THEN 1.0 ELSE 0 END + CASE WHEN regexp_matches(content, '待确认|待验证|存疑|未验证|无法确认|尚无定论|不确定是否|没有证据|缺乏证据|暂未核实') THEN 0.3 ELSE 0 END AS s FROM cur)""")
 def r7_belief(spark: SparkSession, d: str) -> DataFrame:
-    b = E.belief(F.col("content"), F.col("source_path"), F.col("status"), _SUPPORT, "没有证据")
-    return S.nodes(spark, d).select("id", F.round(b, 6).alias("belief"))
+    o = E.opinion(F.col("content"), F.col("source_path"), F.col("status"), F.col("type"), F.coalesce(F.map_contains_key("meta", "commit"), F.lit(False)))
+    return S.nodes(spark, d).select("id", *[F.round(o[c], 6).alias(c) for c in "bdu"])
 
 
 @R.add(_SCORED + "SELECT id, round(score * CASE WHEN domain = 'kb' THEN 1.15 ELSE 1 END + CASE WHEN domain = 'hermes' THEN 0.1 ELSE 0 END, 4) AS score FROM soft WHERE status NOT IN ('outdated','archived') AND coalesce(type,'') NOT IN ('record','event','git_commit','thought','session') ORDER BY 2 DESC, 1 LIMIT 20")
@@ -391,16 +387,24 @@ def r13_slices_only(spark: SparkSession, d: str) -> DataFrame:
 _QUESTION = "the merge gate and the daily digest"
 
 
-def _grams_sql(grams: list[str], n: int) -> str:
-    listed = ", ".join("'" + g.replace("'", "''") + "'" for g in grams)
+#: The grams of questions (q, query) in SQL, in their order: asked (q, i, g).
+GRAMS_SQL = r"""
+, parts AS (SELECT q, unnest(s) AS part, unnest(generate_series(1, len(s))) AS p FROM (SELECT q, regexp_split_to_array(query, '[\s,，。；;、/（）()？?！!：:+【】\[\]「」『』\-—·…]+') AS s FROM (QUESTIONS))),
+slid AS (SELECT q, p, part, unnest(list_sort(list_distinct(list_concat(generate_series(0, length(part) - 3, greatest(1, (length(part) - 2) // 12)), [length(part) - 3])))) AS pos FROM parts WHERE length(part) >= 3),
+numbered AS (SELECT q, substr(part, pos + 1, 3) AS g, row_number() OVER (PARTITION BY q ORDER BY p, pos) - 1 AS k, count(*) OVER (PARTITION BY q) AS n FROM slid),
+asked AS (SELECT q, g, row_number() OVER (PARTITION BY q ORDER BY k) - 1 AS i FROM numbered WHERE n <= 12 OR list_contains(list_transform(range(12), lambda j: round_even(j * (n - 1) / 11.0, 0)), k))
+"""
+
+
+def _grams_sql(grams: str, n: int) -> str:
     return f"""
 , low AS (SELECT doc_id AS id, lower(text) AS c FROM documents), whole AS (SELECT count(*) AS n_docs, avg(greatest(length(c) - {n - 1}, 0)) AS mean_len FROM low),
 g AS (SELECT id, greatest(length(c) - {n - 1}, 0) AS dl, unnest(list_transform(generate_series(1, length(c) - {n - 1}), lambda i: substr(c, i, {n}))) AS gram FROM low),
-tf AS (SELECT id, gram, dl, count(*) AS tf FROM g WHERE gram IN ({listed}) GROUP BY ALL), df AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram)
+tf AS (SELECT id, gram, dl, count(*) AS tf FROM g WHERE gram IN ({grams}) GROUP BY ALL), df AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram)
 SELECT id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean_len))), 6) AS score FROM tf JOIN df USING (gram), whole GROUP BY id"""
 
 
-@R.add(_grams_sql(T.query_grams(_QUESTION), 3) + " ORDER BY 2 DESC, 1 LIMIT 30")
+@R.add(GRAMS_SQL.replace("QUESTIONS", f"SELECT 0 AS q, '{_QUESTION}' AS query") + _grams_sql("SELECT lower(g) FROM asked", 3) + " ORDER BY 2 DESC, 1 LIMIT 30")
 def r14_text_search(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return T.search(docs, _QUESTION, 30).select("id", F.round("score", 6).alias("score"))
@@ -412,7 +416,7 @@ def r14_phrase_search(spark: SparkSession, d: str) -> DataFrame:
     return T.search(docs, "Digest", 30).select("id", "score")
 
 
-@R.add(_grams_sql(["摘要", "要点", "会话"], 2))
+@R.add(_grams_sql("'摘要', '要点', '会话'", 2))
 def r17_bm25_bigrams(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return T.bm25(docs, ["摘要", "要点", "会话"], 2).withColumn("score", F.round("score", 6))
@@ -495,16 +499,12 @@ def x_shorten(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add(r"""
-, h AS (SELECT id, content, substr(content, 1, 100) AS head FROM cur),
-s AS (SELECT *, length(regexp_extract(head, '(?s)^(.*[。！？!?；;.])', 1)) AS se, regexp_extract(head, '(?s)^(.*)\s\S*$', 1) AS wd, regexp_extract(head, '(?s)^(.*[。！？!?；;.])', 1) AS st FROM h)
-SELECT id, CASE WHEN length(content) <= 100 THEN content WHEN se >= 50 THEN st WHEN length(wd) >= 50 THEN wd ELSE head END AS piece FROM s WHERE NOT regexp_matches(content, '\d\.\d')""")
+, h AS (SELECT id, content, substr(content, 1, 100) AS head, substr(regexp_replace(regexp_replace(content, '(\d)\.(\d)', '\1·\2', 'g'), '(\d)\.(\d)', '\1·\2', 'g'), 1, 100) AS t FROM cur),
+s AS (SELECT *, length(regexp_extract(t, '(?s)^(.*[。！？!?.\n])', 1)) AS se, length(regexp_extract(t, '(?s)^(.*)[ \t,，、]', 1)) AS we FROM h),
+e AS (SELECT *, CASE WHEN substr(head, se, 1) = chr(10) THEN se - 1 ELSE se END AS ends FROM s)
+SELECT id, CASE WHEN length(content) <= 100 THEN content WHEN se > 0 AND ends >= 50 THEN substr(head, 1, ends) WHEN we >= 50 THEN substr(head, 1, we) ELSE head END AS piece FROM e""")
 def x_excerpt(spark: SparkSession, d: str) -> DataFrame:
-    return S.nodes(spark, d).where(~F.col("content").rlike(r"\d\.\d")).select("id", E.excerpt(F.col("content"), 100).alias("piece"))
-
-
-@R.add("SELECT doc_id, translate(text, '，。：；！？（）【】', ',.:;!?()[]') AS folded FROM documents WHERE lang = 'zh'")
-def x_fold_punctuation(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang = 'zh'").select("doc_id", E.fold_punctuation(F.col("text")).alias("folded"))
+    return S.nodes(spark, d).select("id", E.excerpt(F.col("content"), 100).alias("piece"))
 
 
 @R.add("SELECT substr(sha256(concat_ws('|', split_part(model, ':', 1), split_part(model, ':', 2), CAST(dim AS VARCHAR), 'mean')), 1, 16) AS space, model, dim FROM (SELECT DISTINCT model, dim FROM node_chunks)")
@@ -524,23 +524,8 @@ def x_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-@R.add("""
-, c AS (SELECT node_id, length(v.chunk_text) AS w, CAST(v.vector AS DOUBLE[]) AS x FROM ch WHERE v.model = 'openai:memvec-mini' AND v.dim = 48 AND len(v.vector) = 48 AND len(list_filter(v.vector, lambda x: x <> 0)) > 0),
-p AS (SELECT node_id, w, unnest(x) AS x, unnest(generate_series(1, 48)) AS i FROM c), m AS (SELECT node_id, i, sum(x * w) / sum(w) AS m FROM p GROUP BY ALL)
-SELECT node_id AS id, round(m[1] / n, 6) AS first, round(m[48] / n, 6) AS last FROM (SELECT node_id, list(m ORDER BY i) AS m, sqrt(sum(m * m)) AS n FROM m GROUP BY node_id)""")
-def x_pooled_vectors(spark: SparkSession, d: str) -> DataFrame:
-    c = S.chunks(spark, d).where("model = 'openai:memvec-mini' and vector is not null").select(F.col("node_id").alias("id"), F.col("vector").cast("array<double>").alias("v"), F.char_length("chunk_text").alias("weight"))
-    return V.pool(c).select("id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[47], 6).alias("last"))
-
-
-@R.add()
-def x_all_excerpts(spark: SparkSession, d: str) -> DataFrame:
-    """Of every content, those with decimals too, which the SQL's patterns cannot tell from sentence ends."""
-    return S.nodes(spark, d).select("id", E.excerpt(F.col("content"), 100).alias("piece"))
-
-
 @R.add("SELECT doc_id, translate(text, '，。：；！？（）【】', ',.:;!?()[]') AS folded FROM documents")
-def x_fold_all_punctuation(spark: SparkSession, d: str) -> DataFrame:
+def x_fold_punctuation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", E.fold_punctuation(F.col("text")).alias("folded"))
 
 
@@ -548,7 +533,7 @@ def x_fold_all_punctuation(spark: SparkSession, d: str) -> DataFrame:
 , c AS (SELECT node_id, v.model AS model, v.dim AS dim, length(v.chunk_text) AS w, CAST(v.vector AS DOUBLE[]) AS x FROM ch WHERE len(v.vector) = v.dim AND len(list_filter(v.vector, lambda x: x <> 0)) > 0),
 p AS (SELECT node_id, model, dim, w, unnest(x) AS x, unnest(generate_series(1, len(x))) AS i FROM c), m AS (SELECT node_id, model, dim, i, sum(x * w) / sum(w) AS m FROM p GROUP BY ALL)
 SELECT node_id AS id, model, dim, round(m[1] / n, 6) AS first, round(m[-1] / n, 6) AS last FROM (SELECT node_id, model, dim, list(m ORDER BY i) AS m, sqrt(sum(m * m)) AS n FROM m GROUP BY node_id, model, dim)""")
-def x_pooled_models(spark: SparkSession, d: str) -> DataFrame:
+def x_pooled_vectors(spark: SparkSession, d: str) -> DataFrame:
     """One vector for each node and space of vectors."""
     c = S.chunks(spark, d).where("vector is not null").select(F.struct("node_id", "model", "dim").alias("id"), F.col("vector").cast("array<double>").alias("v"), F.char_length("chunk_text").alias("weight"))
     return V.pool(c).select(F.col("id.node_id").alias("id"), "id.model", "id.dim", F.round(F.col("v")[0], 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))

@@ -37,8 +37,9 @@ def s4_ids(spark: SparkSession, d: str) -> DataFrame:
     return S.nodes(spark, d).select("id")
 
 
-@R.add("SELECT * FROM ed WHERE src = 'index/home.md'")
-def s5_edges_out(spark: SparkSession, d: str, start: str = "index/home.md") -> DataFrame:
+@R.add("SELECT * FROM ed WHERE src = (SELECT p FROM hub)")
+def s5_edges_out(spark: SparkSession, d: str, start: str | None = None) -> DataFrame:
+    start = start or S.hub(spark, d)
     return S.edges(spark, d).where(F.col("src") == start)
 
 
@@ -90,11 +91,11 @@ def s18_import_ids(spark: SparkSession, d: str) -> DataFrame:
     return pack.join(F.broadcast(n.agg(F.max("id").alias("top")))).select(F.col("id").alias("pack_id"), (F.col("top") + F.col("place")).alias("id"), issue.alias("issue"))
 
 
-@R.add("SELECT id, list_sort(list_distinct(list_concat(map_keys(coalesce(meta, MAP {})), ['reviewed']))) AS keys FROM cur WHERE type = 'memory'")
+@R.add("SELECT id, list_sort(list_distinct(list_concat(map_keys(coalesce(meta, MAP {})), ['reviewed']))) AS keys FROM cur")
 def s22_merge_meta(spark: SparkSession, d: str) -> DataFrame:
     old = F.coalesce("meta", F.create_map().cast("map<string,string>"))
     merged = E.merge_maps(old, F.create_map(F.lit("reviewed"), F.lit("yes")))
-    return S.nodes(spark, d).where("type = 'memory'").select("id", F.sort_array(F.map_keys(merged)).alias("keys"))
+    return S.nodes(spark, d).select("id", F.sort_array(F.map_keys(merged)).alias("keys"))
 
 
 @R.add("SELECT (SELECT count(*) FROM ed WHERE src NOT LIKE 'tasks/%' AND dst NOT LIKE 'tasks/%') AS edges_left, (SELECT count(*) FROM cur WHERE coalesce(source_path, '') NOT LIKE 'tasks/%') AS nodes_left")
@@ -141,9 +142,14 @@ def f4_or(spark: SparkSession, d: str) -> DataFrame:
     return find(S.nodes(spark, d), {"$or": [{"type": "plan"}, {"importance": {"$gt": 0.9}}]}).select("id")
 
 
-@R.add("SELECT request_id, coalesce(map_contains(meta, 'chat_id'), false) AS has_chat FROM req")
+@R.add("SELECT request_id, 'there' AS chat FROM req WHERE coalesce(map_contains(meta, 'chat_id'), false) UNION ALL SELECT request_id, 'missing' FROM req WHERE NOT coalesce(map_contains(meta, 'chat_id'), false) UNION ALL SELECT request_id, 'column' FROM req")
 def f5_exists(spark: SparkSession, d: str) -> DataFrame:
-    return S.requests(spark, d).select("request_id", F.coalesce(F.map_contains_key("meta", "chat_id"), F.lit(False)).alias("has_chat"))
+    """A key of a map, there or missing; a column is there for every row, null or not."""
+    from marlstone.operators.find import find
+
+    r = S.requests(spark, d)
+    of = lambda spec, name, within: find(r, spec, within).select("request_id", F.lit(name).alias("chat"))
+    return of({"chat_id": {"$exists": True}}, "there", "meta").union(of({"chat_id": {"$exists": False}}, "missing", "meta")).union(of({"session_id": {"$exists": True}}, "column", None))
 
 
 @R.add("SELECT 'logs' AS tier, count(*) AS n FROM cur WHERE type IN ('record','event','git_commit','thought','session') UNION ALL SELECT 'facts', count(*) FROM cur WHERE coalesce(type,'') NOT IN ('record','event','git_commit','thought','session')")
@@ -211,10 +217,9 @@ def f29_exact_identifier(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "temporal_state").select("qid", "query", E.exact_identifier(F.col("query")).alias("exact"))
 
 
-@R.add("SELECT session_id, max(CASE WHEN len(list_filter(map_values(coalesce(sections, MAP {})), lambda v: trim(coalesce(v, '')) <> '')) > 0 THEN 1 ELSE 0 END) AS substantive FROM req GROUP BY 1")
+@R.add(r"SELECT session_id, max(CASE WHEN len(list_filter(map_values(coalesce(sections, MAP {})), lambda v: trim(coalesce(v, '')) <> '')) > 0 OR regexp_matches(content, '做|改|查|写|跑|验证|修|提|生成|整理|分析|对比') OR regexp_matches(content, '(?i)\b(do|make|fix|add|check|run|verify|write|build|create|review|analyze)\b') THEN 1 ELSE 0 END) AS substantive, count(*) AS n FROM req GROUP BY 1")
 def f30_substantive(spark: SparkSession, d: str) -> DataFrame:
-    some = F.coalesce(F.exists(F.map_values("sections"), lambda v: F.trim(F.coalesce(v, F.lit(""))) != ""), F.lit(False))
-    return S.requests(spark, d).groupBy("session_id").agg(F.max(some.cast("int")).alias("substantive"))
+    return S.requests(spark, d).groupBy("session_id").agg(F.max(E.substantive(F.col("sections"), F.coalesce("content", F.lit(""))).cast("int")).alias("substantive"), F.count(F.lit(1)).alias("n"))
 
 
 # ---- aggregates
@@ -264,9 +269,11 @@ def a7_top_hits(spark: SparkSession, d: str) -> DataFrame:
     return S.nodes(spark, d).select("id", "hit_count").orderBy(F.desc("hit_count"), "id").limit(10)
 
 
-@R.add("SELECT round(count(*) FILTER (status = 'outdated') / CAST(count(*) AS DOUBLE), 4) AS share FROM cur")
+@R.add("SELECT round(count(*) FILTER (coalesce(meta['origin'] IN ('session_digest','dialogue_digest'), false) OR starts_with(content, '[对话沉淀]')) / CAST(count(*) AS DOUBLE), 4) AS share FROM cur WHERE status = 'active'")
 def a8_share(spark: SparkSession, d: str) -> DataFrame:
-    return S.nodes(spark, d).agg(F.round(F.count_if(F.col("status") == "outdated") / F.count(F.lit(1)), 4).alias("share"))
+    """The share of digests among active nodes."""
+    digest = E.is_digest(F.col("meta"), F.col("content"), ("session_digest", "dialogue_digest"), ("[对话沉淀]",))
+    return S.nodes(spark, d).where("status = 'active'").agg(F.round(F.count_if(digest) / F.count(F.lit(1)), 4).alias("share"))
 
 
 @R.add("SELECT coalesce(dedupe, 'none') AS dedupe, count(*) AS n, count(*) FILTER (trim(coalesce(replaces,'')) <> '') AS replacing, round(count(*) FILTER (trim(coalesce(replaces,'')) <> '') / CAST(count(*) AS DOUBLE), 4) AS rate FROM req WHERE event_time >= TIMESTAMP '2026-01-01' AND event_time < TIMESTAMP '2026-07-01' GROUP BY 1")
@@ -311,9 +318,9 @@ def a25_cube(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- windows
 
-@R.add("SELECT id, row_number() OVER (ORDER BY importance DESC, id) - 1 AS place FROM cur WHERE type = 'decision'")
+@R.add("SELECT id, row_number() OVER (ORDER BY importance DESC, id) - 1 AS place FROM cur")
 def w1_rank(spark: SparkSession, d: str) -> DataFrame:
-    n = S.nodes(spark, d).where("type = 'decision'")
+    n = S.nodes(spark, d)
     return global_place(n.select("id", "importance"), F.desc("importance"), F.asc("id")).select("id", (F.col("place") - 1).alias("place"))
 
 
@@ -323,15 +330,15 @@ def w3_argmax(spark: SparkSession, d: str) -> DataFrame:
     return S.edges(spark, d).withColumn("r", F.row_number().over(w)).where("r = 1").select("dst", "src", "weight")
 
 
-@R.add("SELECT source_path, id AS src, lead(id) OVER (PARTITION BY source_path ORDER BY chunk_index, id) AS dst FROM cur WHERE source_path IS NOT NULL")
+@R.add("SELECT node_id, chunk_idx, lead(chunk_idx) OVER (PARTITION BY node_id ORDER BY chunk_idx) AS next FROM ch")
 def w5_next_chunk(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("source_path").orderBy("chunk_index", "id")
-    return S.nodes(spark, d).where("source_path is not null").select("source_path", F.col("id").alias("src"), F.lead("id").over(w).alias("dst"))
+    w = Window.partitionBy("node_id").orderBy("chunk_idx")
+    return S.chunks(spark, d).select("node_id", "chunk_idx", F.lead("chunk_idx").over(w).alias("next"))
 
 
-@R.add("SELECT DISTINCT source_path, min(id) OVER (PARTITION BY source_path) AS hub FROM cur WHERE source_path IS NOT NULL")
+@R.add("SELECT DISTINCT node_id, first_value(chunk_idx) OVER (PARTITION BY node_id ORDER BY chunk_idx) AS hub, count(*) OVER (PARTITION BY node_id) AS members FROM ch")
 def w6_hub(spark: SparkSession, d: str) -> DataFrame:
-    return S.nodes(spark, d).where("source_path is not null").groupBy("source_path").agg(F.min("id").alias("hub"))
+    return S.chunks(spark, d).groupBy("node_id").agg(F.min("chunk_idx").alias("hub"), F.count(F.lit(1)).alias("members"))
 
 
 @R.add("""

@@ -39,10 +39,16 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return e.where("src is not null and dst is not null and src <> dst").groupBy("src", "dst", "label").agg(F.max("weight").alias("weight"))
 
 
+def hub(spark: SparkSession, d: str) -> str | None:
+    """The page with edges to most others, the first of equals; none without edges."""
+    n = edges(spark, d).groupBy("src").agg(F.count_distinct("dst").alias("n")).orderBy(F.desc("n"), "src").first()
+    return n and n["src"]
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """The current chunk of each key, usable vectors only as `vector` (else null)."""
     c = table(spark, d, "node_chunks")
-    cur = c.groupBy("node_id", "chunk_idx").agg(F.max_by(F.struct("chunk_text", "vector", "dim", "model"), "updated_at").alias("v"), F.max("updated_at").alias("updated_at"))
+    cur = c.groupBy("node_id", "chunk_idx").agg(F.max_by(F.struct("chunk_text", "vector", "dim", "model"), F.struct("updated_at", F.xxhash64("chunk_text", "vector", "dim", "model"))).alias("v"), F.max("updated_at").alias("updated_at"))
     return cur.select("node_id", "chunk_idx", "v.*", "updated_at").withColumn("vector", F.when((F.size("vector") == F.col("dim")) & F.exists("vector", lambda x: x != 0), F.col("vector")))
 
 
@@ -55,7 +61,7 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
     """Each ingest request once, as first delivered."""
     r = table(spark, d, "mem_ingest_request")
     cols = [c for c in r.columns if c not in ("request_id", "received_at")]
-    return r.groupBy("request_id").agg(F.min_by(F.struct(*cols), "received_at").alias("v"), F.min("received_at").alias("received_at")).select("request_id", "v.*", "received_at")
+    return r.groupBy("request_id").agg(F.min_by(F.struct(*cols), F.struct("received_at", F.xxhash64(*[F.map_entries(c) if t.startswith("map") else c for c, t in r.dtypes if c in cols]))).alias("v"), F.min("received_at").alias("received_at")).select("request_id", "v.*", "received_at")
 
 
 def fact_links(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import itertools
 from datetime import UTC, datetime
 
@@ -91,3 +92,21 @@ def test_rows(spark):
     rows = [(1, "2025-01-01", None, "", 0), (1, "2025-01-01", None, "", 0), (1, "2025-01-02", None, "", 0), (2, None, "UTC", "", 0), (3, "unknown", "UTC", "", 0), (None, "2025-01-01", "UTC", "", 0)]
     assert [(k, u) for k, _, u, _ in run(spark, rows)] == [(1, us(2025, 1, 1)), (1, us(2025, 1, 2))]
     assert run(spark, []) == []
+
+
+def test_a_chain_over_many_spans_equals_the_plain_form(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 3)
+    monkeypatch.setattr(T, "SPAN", 2)
+    rng = random.Random(3)
+    texts = [f"{rng.randrange(1, 13):02}/{rng.randrange(1, 13):02}/2025 {rng.randrange(24):02}:00" for _ in range(40)]
+    df = spark.createDataFrame([(i, t, "UTC", "s") for i, t in enumerate(texts)], "k bigint, t string, z string, s string")
+    got = {r.key: (r.layout, r.created_us) for r in T.normalise_timestamps(df, key="k", text="t", tz="z", source="s", declared=None).collect()}
+    rows = [T.interpretations(t, "UTC") for t in texts]
+    cost = lambda path: sum(T.SWITCH * (a[0] != b[0]) + T.BACK * (b[1] < a[1]) for a, b in zip(path, path[1:]))
+    assert cost([got[i] for i in range(40)]) == cost([r[i] for r, i in zip(rows, T.viterbi(rows))])
+
+
+def test_all_readings_are_states_and_the_declared_one_wins(spark):
+    df = spark.createDataFrame([(1, "03/04/2025", "UTC"), (2, "13/04/2025", "UTC"), (3, " " * 300 + "2025-04-14", "UTC")], "k bigint, t string, z string")
+    got = {r.key: (r.layout, r.n_readings) for r in T.normalise_timestamps(df, key="k", text="t", tz="z", source="z").collect()}
+    assert got == {1: ("mdy_slash", 2), 2: ("dmy_slash", 1), 3: ("iso", 1)}
