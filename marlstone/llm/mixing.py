@@ -20,9 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.runtime import cut
+from marlstone.runtime import cut, shuffled
 
 BLOCK_DOCS, SHARD_TOKENS = 32, 2_000_000
+#: Blocks whose places are found together.
+SPAN = 4_096
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that the vocabulary at TOKENIZER was made with (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -108,14 +110,18 @@ def mix(tokens: DataFrame, targets: DataFrame, *, seed: int = 17, block_docs: in
     order = F.xxhash64(F.lit(seed), "repeat", "doc_id")
     placed = tokens.join(used, "source").withColumn("block", F.pmod(order, F.col("n_blocks"))).select("doc_id", "source", "repeat", "block", "n_tokens", F.xxhash64(order, F.lit(1)).alias("at"))
     sums = placed.groupBy("source", "repeat", "block").agg(F.sum("n_tokens").alias("block_tokens"))
-    row = Window.partitionBy("mix_name", "source").orderBy("repeat", "block")  # block sums, not documents
-    units = (
-        passes.select("mix_name", "source", "repeat", "quota").join(sums, ["source", "repeat"])
-        .withColumn("before", F.sum("block_tokens").over(row.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("before", F.coalesce("before", F.lit(0)))
-        .where("before < quota")
-        .withColumn("unit", (F.row_number().over(row) - 1).cast("bigint"))
+    # a block's place and the tokens before it, over spans of blocks: no task sorts a whole source
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut(sums.withColumn("span", F.floor(F.col("block") / SPAN)))
+    w = earlier(Window.partitionBy("source").orderBy("repeat", "span"))
+    spans = sums.groupBy("source", "repeat", "span").agg(F.sum("block_tokens").alias("t"), F.count(F.lit(1)).alias("k"))
+    spans = spans.select("source", "repeat", "span", F.coalesce(F.sum("t").over(w), F.lit(0)).alias("t"), F.coalesce(F.sum("k").over(w), F.lit(0)).alias("k"))
+    inner = Window.partitionBy("source", "repeat", "span").orderBy("block")
+    placed_blocks = (
+        sums.withColumns({"in_t": F.coalesce(F.sum("block_tokens").over(earlier(inner)), F.lit(0)), "in_k": F.row_number().over(inner) - 1}).join(shuffled(spans), ["source", "repeat", "span"])
+        .select("source", "repeat", "block", "block_tokens", (F.col("t") + F.col("in_t")).alias("before"), (F.col("k") + F.col("in_k")).cast("bigint").alias("unit"))
     )
+    units = passes.select("mix_name", "source", "repeat", "quota").join(placed_blocks, ["source", "repeat"]).where("before < quota")
     units = cut(units)
     plan = units.groupBy("mix_name", "source").agg(F.count(F.lit(1)).alias("n_units")).join(asked.groupBy("mix_name").agg(F.greatest(F.lit(1), F.ceil(F.sum("quota") / shard_tokens)).alias("shards")), "mix_name")
     per_mix = plan.groupBy("mix_name").agg(F.sort_array(F.collect_list(F.struct("source", "n_units"))).alias("colours"), F.max("shards").alias("shards"))  # sources of one mix
@@ -132,8 +138,8 @@ def mix(tokens: DataFrame, targets: DataFrame, *, seed: int = 17, block_docs: in
 
     drawn = walks.select("mix_name", "colours", "shards", "shard").mapInPandas(walk, "mix_name string, source string, shard bigint, first bigint, stop bigint")
     owner = drawn.select("mix_name", "source", "shard", F.explode(F.sequence("first", F.col("stop") - 1)).alias("unit"))
-    owned = units.join(owner, ["mix_name", "source", "unit"]).select("mix_name", "source", "repeat", "block", "quota", "before", "block_tokens", "shard")
-    docs = placed.join(owned, ["source", "repeat", "block"])
+    owned = units.join(shuffled(owner), ["mix_name", "source", "unit"]).select("mix_name", "source", "repeat", "block", "quota", "before", "block_tokens", "shard")
+    docs = placed.join(shuffled(owned), ["source", "repeat", "block"])
     inside = Window.partitionBy("mix_name", "source", "repeat", "block").orderBy("at", "doc_id")  # one block
     whole = F.col("before") + F.col("block_tokens") <= F.col("quota")
     taken = docs.withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside)).where(whole | (F.col("upto") <= F.col("quota")))
@@ -147,3 +153,10 @@ def reached(selection: DataFrame, tokens: DataFrame, targets: DataFrame) -> Data
     got = per_doc.groupBy("mix_name", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("uses").alias("n_uses"), F.max("uses").alias("most_repeats"), F.sum("tokens").alias("tokens"))
     report = quotas(tokens.where("source is not null"), targets).select("mix_name", "source", "target_share", F.col("share").alias("share_asked"), "max_repeats").join(got, ["mix_name", "source"], "left").na.fill(0, ["n_docs", "n_uses", "most_repeats", "tokens"])
     return report.withColumn("share_reached", F.round(F.coalesce(F.try_divide("tokens", F.sum("tokens").over(Window.partitionBy("mix_name"))), F.lit(0.0)), 6)).withColumn("share_asked", F.round("share_asked", 6))
+
+
+def kept(selection: DataFrame, tokens: DataFrame, targets: DataFrame, *, near: float = 0.01) -> DataFrame:
+    """(mix_name, source, share_asked, capped, once, near): for each target, whether no document is used more than max_repeats times, none twice in one repetition, and the share reached is within `near` of the one asked for."""
+    twice = selection.groupBy("mix_name", "source", "doc_id", "repeat").agg(F.count(F.lit(1)).alias("n")).groupBy("mix_name", "source").agg(F.max("n").alias("n"))
+    r = reached(selection, tokens, targets).join(twice, ["mix_name", "source"], "left")
+    return r.select("mix_name", "source", "share_asked", (F.col("most_repeats") <= F.col("max_repeats")).alias("capped"), (F.coalesce("n", F.lit(1)) == 1).alias("once"), (F.abs(F.col("share_reached") - F.col("share_asked")) <= near).alias("near"))

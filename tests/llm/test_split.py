@@ -48,9 +48,26 @@ def test_any_text(spark, texts):
         whole(texts[i], p, 40, 7)
 
 
-def test_ranges_do_not_matter(spark):
-    cuts = [[(p.start, p.stop) for p in run(spark, [PROSE], length=n)[0]] for n in (1_700, 8_192, 100_000)]
-    assert cuts[0] == cuts[1] == cuts[2]
+def test_any_range_length_gives_whole_items_and_natural_ends(spark):
+    for n in (1_700, 4_096, 100_000):
+        p = run(spark, [PROSE], length=n)[0]
+        whole(PROSE, p, 1500, 100)
+        assert all(x.text.endswith(("\n\n", ". ", ".")) for x in p)
+    text = "汉字😀" * 3_000  # no boundary anywhere
+    whole(text, run(spark, [text], length=1_700)[0], 1500, 100)
+
+
+def test_neighbours_agree_on_their_anchor():
+    for most, overlap, length in ((40, 7, 64), (100, 20, 300)):
+        got, total = [], len(PROSE)
+        for start in range(0, total, length):
+            before, own = min(start, overlap + S._EDGE), min(length, total - start)
+            got += S.range_pieces(PROSE[start - before : start + own + most + S._EDGE], before, own, start, total, most=most, overlap=overlap, length=length, find=S.boundaries)
+        at = 0
+        for _, x, y in got:
+            assert 0 <= at - x <= overlap and at < y <= x + most
+            at = y
+        assert at == total
 
 
 def test_no_overlap_null_keys_and_bad_arguments(spark):
@@ -65,9 +82,10 @@ def test_files_by_byte_ranges(spark, tmp_path):
     data = (PROSE + "汉字，" * 3000 + "😀" * 2000).encode()
     f = tmp_path / "big.txt"
     f.write_bytes(data)
-    got = sorted(S.file_pieces(spark, [str(f)], length=4096).collect(), key=lambda r: r.piece_no)
+    (tmp_path / "empty.txt").write_bytes(b"")
+    got = sorted(S.file_pieces(spark, str(tmp_path), length=4096).collect(), key=lambda r: r.piece_no)
     at = 0
-    for p in got:
-        assert data[p.start : p.stop].decode() == p.text and p.stop - p.start <= 1500 and 0 <= at - p.start <= 100
+    for n, p in enumerate(got):
+        assert p.piece_no == n and data[p.start : p.stop].decode() == p.text and p.stop - p.start <= 1500 and 0 <= at - p.start <= 100
         at = p.stop
     assert at == len(data)
