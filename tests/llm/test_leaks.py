@@ -22,10 +22,19 @@ def brute_align(a, b):
 
 def test_alignment_and_run_against_plain_forms():
     rng = np.random.default_rng(1)
-    for _ in range(30):
-        a, b = rng.integers(1, 5, rng.integers(1, 15)), rng.integers(0, 5, rng.integers(1, 25))
-        assert L.align(a, b) == brute_align(a, b)
-        assert L.longest_run(a, b) == brute_run(list(a), list(b))
+    pairs = [(rng.integers(1, 5, rng.integers(1, 15)), rng.integers(0, 5, rng.integers(1, 25))) for _ in range(60)]
+    score, longest = L.aligned(pairs)
+    assert score.tolist() == [brute_align(a, b) for a, b in pairs]
+    assert longest.tolist() == [brute_run(list(a), list(b)) for a, b in pairs]
+
+
+def test_windows_hold_every_passage_and_its_surroundings():
+    rng = np.random.default_rng(2)
+    p = np.arange(1, 31)
+    t = np.concatenate([np.zeros(200, int), p, np.zeros(100, int), p[5:25], np.zeros(400, int), rng.permutation(p)])
+    got = L.windows(p, t, 5)
+    assert len(got) == 2 and got[0][0] <= 200 and got[0][1] >= 230 and got[1][0] <= 330 and got[1][1] >= 350 and got[1][1] < 450
+    assert L.windows(p, np.zeros(50, int), 5) == []
 
 
 def test_words():
@@ -93,3 +102,23 @@ def test_an_edited_copy_beside_rarer_ngrams(spark):
     head, tail = " ".join(p[:12]) + " qqq", "zzz " + " ".join(p[12:])
     docs = [(i, head) for i in range(5)] + [(9, tail)]  # each n-gram of the head is in five documents, of the tail in one
     assert {d for d, _ in run(spark, docs, [(1, " ".join(p))])} == {0, 1, 2, 3, 4, 9}
+
+
+def test_recall_of_edited_and_reordered_copies(spark):
+    """Words replaced, left out and put in, and sentences moved: at least 0.9 of the copies come out with half the passage's score."""
+    rng = random.Random(10)
+    items, docs = [], []
+    for i in range(40):
+        p = [rng.choice(VOCABULARY) for _ in range(60)]
+        items.append((i, " ".join(p)))
+        c = [w for w in p if rng.random() > 0.03]
+        c = [rng.choice(VOCABULARY) if rng.random() < 0.1 else w for w in c]
+        for _ in range(2):
+            c.insert(rng.randrange(len(c)), rng.choice(VOCABULARY))
+        if i % 4 == 0:
+            c = c[40:] + c[:40]
+        docs.append((i, " ".join(rng.choice(VOCABULARY) for _ in range(100)) + " " + " ".join(c)))
+    got = run(spark, docs, items)
+    found = {k for k, r in got.items() if r.score >= 0.5}
+    assert len([k for k in found if k[0] == k[1]]) >= 36
+    assert all(a == b for a, b in found)
