@@ -5,8 +5,11 @@ best-first walk over an in-memory neighbour graph. Every vector goes to its
 nearest lists and, near a boundary, to further ones: those whose distance is
 within a ratio of the nearest. Vectors meet inside lists only, so the work is
 rows times list length, and one shuffle of the replicated rows is all that
-moves. Lists that the sample shows to be long are cut into tiles (query block
-times data block), so that no task holds more than two blocks.
+moves. Where a sample gives too few lists for the rows, each list is parted
+once more, by a sample of its own rows and on the executors; a walk over the
+first level then opens some lists and compares with the second level of those.
+Lists that are still long are cut into tiles (query block times data block), so
+that no task holds more than two blocks.
 
 Exact copies: only the k+1 smallest keys of a class of equal vectors can be
 among anyone's k nearest, ties going to the smaller key. Further copies are
@@ -25,7 +28,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of the fitting sample per model at most; with LEAST_FIT sample rows a list, it bounds the centroids that are broadcast.
-FIT_ROWS, LEAST_FIT = 16_384, 8
+FIT_ROWS, LEAST_FIT = 65_536, 8
+#: Second level: sample rows a list, lists under one of the first level and of a model at most (which bounds what is collected and broadcast), lists of the first level that a walk opens.
+SUB_FIT, SUB_LISTS, ALL_LISTS, OPENED = 16, 1_024, 131_072, 12
 #: Vectors a list holds before replication; rows of a tile's block.
 LIST_ROWS, BLOCK_ROWS = 256, 4_096
 
@@ -44,9 +49,32 @@ class Lists:
     graph: np.ndarray
     pivots: np.ndarray
     blocks: np.ndarray
+    share: np.ndarray
+    sub: np.ndarray | None = None
+    begins: np.ndarray | None = None
 
     def nearest(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, cosines) of about the `beam` nearest centroids of each row, best first.
+        """(ids, cosines) of about the `beam` nearest lists of each row, best first."""
+        if self.sub is None:
+            return self.walk(q, beam)
+        tops = self.walk(q, OPENED)[0]
+        sizes = np.diff(self.begins)
+        width = int(sizes[tops].sum(1).max())
+        ids, sims = np.zeros((len(q), width), np.int64), np.full((len(q), width), -np.inf, np.float32)
+        room = np.cumsum(sizes[tops], axis=1) - sizes[tops]
+        for top in np.unique(tops):
+            r, j = np.nonzero(tops == top)
+            a, b = self.begins[top], self.begins[top + 1]
+            at = room[r, j][:, None] + np.arange(b - a)
+            ids[r[:, None], at] = np.arange(a, b)
+            sims[r[:, None], at] = q[r] @ self.sub[a:b].T
+        beam = min(beam, int(sizes[tops].sum(1).min()))
+        best = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
+        order = np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, 1), axis=1, kind="stable"), 1)
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+
+    def walk(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, cosines) of about the `beam` nearest centroids of the first level, best first.
 
         A best-first walk over the graph for all rows at once: each round
         expands each row's best open nodes and keeps the best `beam` seen.
@@ -144,7 +172,7 @@ def fit(sample: np.ndarray, rows: int, *, list_rows: int = LIST_ROWS, degree: in
     pivots = np.sort(rng.permutation(m)[: max(32, int(2 * m**0.5))])
     share = np.bincount(owner, minlength=m) / len(sample)
     blocks = np.maximum(1, np.ceil(share * rows * 2 / BLOCK_ROWS)).astype(np.int64)  # 2: room for replicas
-    return Lists(cent, graph, pivots, blocks)
+    return Lists(cent, graph, pivots, blocks, share)
 
 
 def _space() -> Column:
@@ -188,9 +216,54 @@ def build_index(vectors: DataFrame, *, fit_rows: int = FIT_ROWS, list_rows: int
         vec = picked["vector"].combine_chunks().take(pa.array(at))
         x = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
         out[m] = fit(_unit(x), n, list_rows=list_rows)
+    _deepen(vectors, out, counts, list_rows)
     return out
 
 
+def _deepen(vectors: DataFrame, index: dict, counts: dict, list_rows: int) -> None:
+    """Part the lists of models with over twice as many rows as their lists are meant for once more."""
+    want = {m: np.minimum(SUB_LISTS, np.ceil(x.share * counts[m] / list_rows)).astype(np.int64) for m, x in index.items() if counts[m] > 2 * len(x.centroids) * list_rows}
+    want = {m: np.maximum(1, k * ALL_LISTS // max(ALL_LISTS, int(k.sum()))) for m, k in want.items()}
+    if not want:
+        return
+    rate = {m: np.minimum(1.0, SUB_FIT * k / np.maximum(1.0, index[m].share * counts[m])) for m, k in want.items()}
+    most = F.lit(None).cast("double")
+    for m, r in rate.items():
+        most = F.when(_space() == m, F.lit(float(r.max()))).otherwise(most)
+    place = F.pmod(F.xxhash64(F.lit(2), "id_a", "id_b"), F.lit(1_000_000)) / 1_000_000
+    drawn = vectors.withColumn("place", place).where(F.col("place") < most).where(usable(F.col("vector"), F.col("dim"))).select(_space().alias("model"), "place", F.col("vector").cast("array<float>").alias("vector"))
+    names = sorted(want)
+    tops = {m: index[m] for m in names}
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            model, where = np.array(batch["model"].to_pylist(), dtype=object), batch["place"].to_numpy(zero_copy_only=False)
+            for i, m in enumerate(names):
+                at = np.flatnonzero(model == m)
+                if len(at):
+                    x = _unit(batch["vector"].take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1))
+                    top = tops[m].walk(x, 8)[0][:, 0]
+                    ok = where[at] < rate[m][top]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(ok.sum(), i, np.int32)), pa.array(top[ok]), pa.array([v.tobytes() for v in x[ok]], pa.binary())], names=["model_no", "top", "v"])
+
+    def part(t: pa.Table) -> pa.Table:
+        i, top = t["model_no"][0].as_py(), t["top"][0].as_py()
+        x = np.frombuffer(b"".join(t["v"].to_pylist()), np.float32).reshape(t.num_rows, -1)
+        leaves = _leaves(x, int(min(want[names[i]][top], max(1, len(x) // 4))), np.random.default_rng([7, top]))
+        cent = np.stack([x[r].mean(0) for r in leaves])
+        cent /= np.maximum(np.linalg.norm(cent, axis=1, keepdims=True), 1e-12)
+        return pa.table([pa.array([i], pa.int32()), pa.array([top], pa.int64()), pa.array([cent.astype(np.float32).tobytes()], pa.binary())], names=["model_no", "top", "c"])
+
+    rows = drawn.mapInArrow(assign, "model_no int, top bigint, v binary").groupBy("model_no", "top").applyInArrow(part, "model_no int, top bigint, c binary").collect()  # ALL_LISTS centroids a model at most
+    for i, m in enumerate(names):
+        lists = index[m]
+        dim, own = lists.centroids.shape[1], {r["top"]: np.frombuffer(r["c"], np.float32) for r in rows if r["model_no"] == i}
+        parts = [own[j].reshape(-1, dim) if j in own else lists.centroids[j : j + 1] for j in range(len(lists.centroids))]
+        sizes = np.array([len(p) for p in parts])
+        lists.sub, lists.begins = np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+        lists.blocks = np.repeat(np.maximum(1, np.ceil(lists.share * counts[m] * 2 / sizes / BLOCK_ROWS)).astype(np.int64), sizes)
+
+
 def _spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of the key that cuts lists into blocks."""
     with np.errstate(over="ignore"):
@@ -216,7 +289,7 @@ def _drop_surplus(a: np.ndarray, b: np.ndarray, x: np.ndarray, most: int) -> np.
     return keep
 
 
-_ROUTED = pa.schema([("model_no", pa.int32()), ("tile", pa.int64()), ("role", pa.int8()), ("id_a", pa.int64()), ("id_b", pa.int64()), ("v", pa.binary())])
+_ROUTED = pa.schema([("model_no", pa.int32()), ("list_no", pa.int64()), ("q_block", pa.int32()), ("d_block", pa.int32()), ("role", pa.int8()), ("id_a", pa.int64()), ("id_b", pa.int64()), ("v", pa.binary())])
 _HITS = pa.schema([("q_a", pa.int64()), ("q_b", pa.int64()), ("d_a", pa.int64()), ("d_b", pa.int64()), ("cosine", pa.float64())])
 _DATA, _QUERY = 1, 2
 
@@ -226,23 +299,24 @@ def _route(index: dict, models: list, k: int, replicas: int, probes: int, ratio:
     beam = max(replicas, probes) + 8
 
     def tiles(lists: Lists, pick: np.ndarray, rows: np.ndarray, block: np.ndarray, role: int) -> Iterator[tuple]:
-        """(row, tile, role) for the chosen lists of each row; tile = list, query block, data block."""
+        """(row, list, query block, data block, role) for the chosen lists of each row."""
         nb = lists.blocks[pick]
         b = block[rows] % nb
-        base = (pick.astype(np.int64) << 24)
+        base = pick.astype(np.int64)
         one = nb == 1
-        yield rows[one], base[one], np.full(one.sum(), role, np.int8)
+        none = np.zeros(one.sum(), np.int32)
+        yield rows[one], base[one], none, none, np.full(one.sum(), role, np.int8)
         for n in np.unique(nb[~one]):
             at = np.flatnonzero(nb == n)
             other = np.arange(n)
             if role & _DATA:  # a data row meets every query block
                 q, d = np.broadcast_to(other, (len(at), n)), np.repeat(b[at][:, None], n, 1)
                 r = np.where(q == d, role, _DATA) if role & _QUERY else np.full(q.shape, _DATA)
-                yield np.repeat(rows[at], n), (base[at][:, None] + (q << 12) + d).ravel(), r.astype(np.int8).ravel()
+                yield np.repeat(rows[at], n), np.repeat(base[at], n), q.ravel().astype(np.int32), d.ravel().astype(np.int32), r.astype(np.int8).ravel()
             if role & _QUERY:  # a query row meets every data block
                 q, d = np.repeat(b[at][:, None], n, 1), np.broadcast_to(other, (len(at), n))
                 ok = (q != d) if role & _DATA else np.ones(q.shape, bool)
-                yield np.repeat(rows[at][:, None], n, 1)[ok], (base[at][:, None] + (q << 12) + d)[ok], np.full(ok.sum(), _QUERY, np.int8)
+                yield np.repeat(rows[at][:, None], n, 1)[ok], np.repeat(base[at][:, None], n, 1)[ok], q[ok].astype(np.int32), d[ok].astype(np.int32), np.full(ok.sum(), _QUERY, np.int8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,13 +344,13 @@ def _route(index: dict, models: list, k: int, replicas: int, probes: int, ratio:
                         jobs += [(within[:, :replicas], _DATA), ((np.arange(ids.shape[1])[None] < probes) & ask[:, None], _QUERY)]
                     for mask, role in jobs:
                         r, j = np.nonzero(mask)
-                        for rows, tile, roles in tiles(lists, ids[r, j], r, block, role):
+                        for rows, list_no, qb, db, roles in tiles(lists, ids[r, j], r, block, role):
                             if len(rows):
                                 raw = np.ascontiguousarray(unit[rows])
                                 size = raw.shape[1] * 4
                                 off = pa.py_buffer(np.arange(0, (len(rows) + 1) * size, size, dtype=np.int32))
                                 vec = pa.Array.from_buffers(pa.binary(), len(rows), [None, off, pa.py_buffer(raw)])
-                                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number[m], np.int32)), pa.array(tile), pa.array(roles), pa.array(ia[rows]), pa.array(ib[rows]), vec], schema=_ROUTED)
+                                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number[m], np.int32)), pa.array(list_no), pa.array(qb), pa.array(db), pa.array(roles), pa.array(ia[rows]), pa.array(ib[rows]), vec], schema=_ROUTED)
 
     return run
 
@@ -335,8 +409,8 @@ def most_similar(vectors: DataFrame, *, k: int = 10, least: float | None = None,
     base = base.withColumn("model", _space())
     index = build_index(vectors, fit_rows=fit_rows, list_rows=list_rows) if index is None else index
     models = sorted(index)
-    routed = base.select("model", "id_a", "id_b", "vector", "is_query").mapInArrow(_route(index, models, k, replicas, probes, ratio, queries is None), "model_no int, tile bigint, role tinyint, id_a bigint, id_b bigint, v binary")
-    hits = routed.groupBy("model_no", "tile").applyInArrow(_meet(k, least), "q_a bigint, q_b bigint, d_a bigint, d_b bigint, cosine double")
+    routed = base.select("model", "id_a", "id_b", "vector", "is_query").mapInArrow(_route(index, models, k, replicas, probes, ratio, queries is None), "model_no int, list_no bigint, q_block int, d_block int, role tinyint, id_a bigint, id_b bigint, v binary")
+    hits = routed.groupBy("model_no", "list_no", "q_block", "d_block").applyInArrow(_meet(k, least), "q_a bigint, q_b bigint, d_a bigint, d_b bigint, cosine double")
     narrow = base.select("model", "id_a", "id_b", "is_query", F.xxhash64("vector").alias("h"), F.hash("vector").alias("h2"))
     cls = ["model", "h", "h2"]
     large = narrow.groupBy(*cls).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select(*cls)

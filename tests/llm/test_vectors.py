@@ -119,3 +119,18 @@ def test_few_usable_vectors_among_many_rows(spark):
     assert {m.split("\u0001")[0] for m in index} == {"rare", "other"}
     got = run(spark, few + bad, k=3, fit_rows=2)
     assert got == brute(few, 3)
+
+
+def test_second_level_of_lists(spark):
+    data = rows(near_pairs(3200, 4))
+    df = spark.createDataFrame(data, SCHEMA)
+    index = V.build_index(df, fit_rows=128, list_rows=16)
+    lists = next(iter(index.values()))
+    assert lists.sub is not None and len(lists.sub) > 4 * len(lists.centroids) and len(lists.blocks) == len(lists.sub)
+    want = brute(data, 5, 0.9)
+    got = {}
+    for r in V.most_similar(df, k=5, least=0.9, index=index).collect():
+        got.setdefault((r.q_a, r.q_b), set()).add((r.d_a, r.d_b))
+    total = sum(map(len, want.values()))
+    assert sum(len(want[q] & got.get(q, set())) for q in want) >= 0.9 * total
+    assert all(got[q] <= want[q] for q in got)
