@@ -108,7 +108,6 @@ _FIELDS = "struct<due: array<string>, mention: array<string>, ref: string>"
 _ISO_IN_TEXT = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:[+-]\d{2}:\d{2})?"
 
 
-@F.pandas_udf(_FIELDS)
 def _fields(text: pd.Series, ref: pd.Series) -> pd.DataFrame:
     out = []
     for t, r in zip(text, ref):
@@ -120,7 +119,7 @@ def _fields(text: pd.Series, ref: pd.Series) -> pd.DataFrame:
 
 def date_fields(text: Column, ref: Column) -> Column:
     """(due, mention, ref): distinct dates after the reference day, and up to it, ascending, 8 of each; all null where a text names none."""
-    return _fields(text, ref)
+    return F.pandas_udf(_fields, _FIELDS)(text, ref)
 
 
 def reference_time(text: Column, event_time: Column, created_at: Column) -> Column:

@@ -39,7 +39,7 @@ def paired_bootstrap(diffs: DataFrame, n: int = 1000, seed: int = 42) -> DataFra
     A resample is drawn by hashed Poisson weights per (query, resample), so
     each row makes its own draws and only n sums are shuffled.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "qid", "i"), F.lit(1_000_003)) / 1_000_003
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "qid", "i")), 1, 8), 16, 10).cast("double") / 4_294_967_296
     cdf, weight, term = 0.0, F.lit(8), 0.36787944117144233
     marks = []
     for k in range(8):

@@ -234,7 +234,12 @@ def g3_unlink(spark: SparkSession, d: str) -> DataFrame:
     return G.unlink(e, e.where("label = 'NEXT' and weight >= 1.0").select("src", "dst", "label")).select("src", "dst", "label", "weight")
 
 
-@R.add()
+def _spread_sql(rounds: int) -> str:
+    step = "".join(f", l{i + 1} AS MATERIALIZED (SELECT id, c FROM (SELECT u.a AS id, l.c, count(*) AS n FROM nb u JOIN l{i} l ON l.id = u.b GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, c) = 1)" for i in range(rounds))
+    return f", nb AS MATERIALIZED (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed), l0 AS MATERIALIZED (SELECT DISTINCT a AS id, a AS c FROM nb){step} "
+
+
+@R.add(_spread_sql(5) + "SELECT c AS community, count(*) AS size FROM l5 GROUP BY c HAVING count(*) >= 3")
 def g4_communities(spark: SparkSession, d: str) -> DataFrame:
     lab = G.label_propagation(S.edges(spark, d), rounds=5)
     return lab.groupBy("community").agg(F.count(F.lit(1)).alias("size")).where("size >= 3").orderBy(F.desc("size"), "community")
@@ -277,7 +282,7 @@ def g8_degrees(spark: SparkSession, d: str) -> DataFrame:
     return G.degrees(S.edges(spark, d))
 
 
-@R.add()
+@R.add(_spread_sql(5) + "SELECT id, c AS community FROM l5")
 def g9_label_propagation(spark: SparkSession, d: str) -> DataFrame:
     return G.label_propagation(S.edges(spark, d), rounds=5)
 
@@ -485,7 +490,14 @@ def a19_auc(spark: SparkSession, d: str) -> DataFrame:
     return Q.auc(S.nodes(spark, d).select(F.col("importance").alias("score"), (F.col("status") == "outdated").alias("label")))
 
 
-@R.add()
+_BOOTSTRAP = """
+, drawn AS (SELECT diff, i, CAST('0x' || substr(md5('42:' || qid || ':' || i), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM (SELECT qid, ndcg - mrr AS diff FROM met), range(1000) t(i)),
+means AS (SELECT i, sum(w * diff) / nullif(sum(w), 0) AS m FROM (SELECT diff, i, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238463 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 WHEN u < 0.999916758850712 THEN 6 WHEN u < 0.9999897508033253 THEN 7 ELSE 8 END AS w FROM drawn) GROUP BY i), mean AS (SELECT avg(ndcg - mrr) AS mean FROM met)
+SELECT round(max(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CASE WHEN abs(m - mean) >= abs(mean) THEN 1 ELSE 0 END), 4) AS p FROM means, mean"""
+_METRICS = R.sql["a16_retrieval_metrics"].removeprefix(VIEWS)
+
+
+@R.add(_METRICS[: _METRICS.rindex("SELECT w.qid")].rstrip() + ", met AS (" + _METRICS[_METRICS.rindex("SELECT w.qid") :] + ")" + _BOOTSTRAP)
 def a21_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     m = a16_retrieval_metrics(spark, d)
     return Q.paired_bootstrap(m.select("qid", (F.col("ndcg") - F.col("mrr")).alias("diff")))
