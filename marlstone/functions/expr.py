@@ -214,3 +214,28 @@ def wiki_names(text: Column) -> Column:
 
 def tagged_block(text: Column, tag: str) -> Column:
     return F.regexp_extract(text, rf"(?s)<{tag}>(.*?)</{tag}>", 1)
+
+
+def thought(text: Column) -> Column:
+    """The first closed <thought> block as struct (found, text, segments, nested, unclosed); one that is never closed is not found."""
+    block = r"(?s)<thought>(.*?)</thought>"
+    n = F.coalesce(F.regexp_count(text, F.lit(block)), F.lit(0))
+    inner = F.regexp_replace(F.regexp_extract(F.coalesce(text, F.lit("")), block, 1), r"(?U)^\s+|\s+$", "")
+    return F.struct((n > 0).alias("found"), inner.alias("text"), n.alias("segments"), inner.contains("<thought>").alias("nested"), ((n == 0) & F.coalesce(text.contains("<thought>"), F.lit(False))).alias("unclosed"))
+
+
+def numbered_sections(text: Column, names: tuple) -> Column:
+    """A map from names to the texts after the lines numbered 1, 2, ...: to the next numbered line, the last of equal numbers; other numbers, blank texts and what comes first are left out."""
+    parts = F.split(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), r"\r?\n(?=[ \t]*\d+[.、．])")
+    number = lambda p: F.regexp_extract(p, r"^[ \t]*(\d{1,9})[.、．]", 1).cast("int")
+    body = lambda p: F.regexp_replace(F.regexp_replace(p, r"^[ \t]*\d+[.、．]", ""), r"(?U)^\s+|\s+$", "")
+    rows = F.filter(F.transform(F.slice(parts, 2, 1_000_000), lambda p: F.struct(number(p).alias("i"), body(p).alias("t"))), lambda x: x["i"].between(1, len(names)) & (x["t"] != ""))
+    last = lambda i: F.element_at(F.filter(rows, lambda x: x["i"] == i), -1)["t"]
+    have = F.filter(F.array(*[F.lit(i + 1) for i in range(len(names))]), lambda i: F.exists(rows, lambda x: x["i"] == i))
+    return F.map_from_arrays(F.transform(have, lambda i: F.element_at(F.array(*[F.lit(n) for n in names]), i)), F.transform(have, last))
+
+
+def limits(text: Column) -> Column:
+    """'task:20000, plan:80000' as a map of whole numbers; parts that are not such are left out."""
+    pairs = F.filter(F.split(F.coalesce(text, F.lit("")), ","), lambda p: p.rlike(r"^\s*[^:]+:\s*\d+\s*$"))
+    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.lower(F.trim(F.split_part(p, F.lit(":"), F.lit(1)))), F.trim(F.split_part(p, F.lit(":"), F.lit(2))).cast("bigint"))))

@@ -108,3 +108,17 @@ def patched(tasks: DataFrame, patches: DataFrame, now: str) -> tuple[DataFrame,
     log = j.where("_p").where(~F.col("_old").eqNullSafe(F.col("_new"))).select("id", F.col("_old").alias("before"), F.col("_new").alias("after"), F.lit(now).alias("at"))
     out = j.withColumns({"content": F.coalesce("_content", "content"), "task_state": F.col("_new"), "last_touched_at": F.when(F.col("_p"), F.lit(now)).otherwise(F.col("last_touched_at"))})
     return out.drop("_content", "_state", "_p", "_old", "_new"), log
+
+
+#: States and marks of a finished task, and words that show one is not.
+FINISHED = ("completed", "done")
+_FINISHED_MARK = r"(?<!未)已完成|完成】\s*$|^\s*【[^【\n]*完成"
+_PENDING = ("未完成", "等发布", "待发布", "等待发布", "待启动", "进行中", "计划中", "未启动")
+
+
+def finished(st: Column, content: Column) -> Column:
+    """By its status, else by a mark in the text, unless a word in it says that something is pending."""
+    text, pending = F.coalesce(content, F.lit("")), F.lit(False)
+    for w in _PENDING:
+        pending = pending | text.contains(w)
+    return F.coalesce(F.lower(F.trim(st)).isin(*FINISHED), F.lit(False)) | (~pending & text.rlike(_FINISHED_MARK))

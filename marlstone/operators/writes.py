@@ -73,3 +73,32 @@ def capsules(turns: DataFrame, session: str, turn: str, tie: str, sections: str)
     s = turns.select(session, turn, tie, F.explode(sections).alias("k", "v")).where("trim(v) <> ''")
     last = s.groupBy(session, "k").agg(F.max_by("v", F.struct(turn, tie)).alias("v"))
     return last.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("sections"), F.count(F.lit(1)).alias("thickness"))
+
+
+def ingested(requests: DataFrame, nodes: DataFrame, *, now: float, timed: tuple = ("memory", "task", "plan"), most: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """(results, outdated) of a batch of ingest statements.
+
+    requests: request_id, content, type, importance, domain, replaces, dedupe,
+    dedupe_target, event_time. Gates in order: the text's issue, its length, a
+    stated dedupe. results: request_id, action ('rejected', 'duplicate',
+    'merged', 'stored'), node_id (the target, or a new id after the largest),
+    issue, importance, domain, valid_at (the event's epoch seconds, else now,
+    for types that have validity). outdated (id, by, invalid_at): nodes that a
+    stored request names in `replaces`, the first to name it.
+    """
+    c, target = F.col("content"), F.col("dedupe_target")
+    how = F.lower(F.trim(F.coalesce("dedupe", F.lit(""))))
+    bad = issue(c)
+    action = F.when(bad != "ok", "rejected").when(F.char_length(F.trim(c)) > most, "rejected").when((how == "reject") & target.isNotNull(), "duplicate").when((how == "merge") & target.isNotNull(), "merged").otherwise("stored")
+    kind = F.coalesce(F.nullif(F.trim("type"), F.lit("")), F.lit("memory"))
+    valid = F.when(kind.isin(*timed), F.coalesce(F.unix_micros(F.col("event_time").cast("timestamp")) / 1e6, F.lit(now)))
+    r = requests.select(
+        "request_id", action.alias("action"), target.alias("_target"), F.when((bad == "ok") & (action == "rejected"), "too_long").otherwise(bad).alias("issue"), F.coalesce("importance", F.lit(0.5)).alias("importance"),
+        F.coalesce(F.nullif(F.lower(F.trim("domain")), F.lit("")), F.lit("general")).alias("domain"), valid.alias("valid_at"), "replaces",
+    )
+    top = nodes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    new = global_place(r.where("action = 'stored'").select("request_id"), "request_id").join(F.broadcast(top)).select("request_id", (F.col("top") + F.col("place")).alias("_new"))
+    done = r.join(new, "request_id", "left").withColumn("node_id", F.when(F.col("action") == "stored", F.col("_new")).when(F.col("action") != "rejected", F.col("_target")))
+    named = done.where("action = 'stored'").select("request_id", "node_id", "valid_at", F.explode(F.regexp_extract_all(F.coalesce("replaces", F.lit("")), F.lit(r"(\d+)"), F.lit(1))).alias("id")).withColumn("id", F.col("id").try_cast("bigint"))
+    first = named.join(nodes.select("id"), "id", "left_semi").groupBy("id").agg(F.min_by(F.struct("node_id", "valid_at"), "request_id").alias("b"))
+    return done.select("request_id", "action", "node_id", "issue", "importance", "domain", "valid_at"), first.select("id", F.col("b.node_id").alias("by"), F.coalesce("b.valid_at", F.lit(now)).alias("invalid_at"))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from marlstone.functions import dates as D
 from marlstone.functions import expr as E
 from marlstone.functions import tasks as K
-from marlstone.operators import conflict as C
 from marlstone.operators import fulltext as T
-from marlstone.operators import graph as G
+from marlstone.operators import indexing as I
 from marlstone.operators import retrieval as X
 from marlstone.operators import vector as V
 from marlstone.operators import writes as W
+from marlstone.operators.ranking import global_place
 from marlstone.plans.registry import VIEWS, Registry
 from marlstone.plans.relations import _query
 from marlstone.runtime import table
@@ -317,4 +317,77 @@ def t4_capsules(spark: SparkSession, d: str) -> DataFrame:
     return c.select("session_id", F.array_join(F.transform("sections", lambda s: F.concat(s["k"], F.lit("="), F.md5(s["v"]))), ",").alias("capsule"), "thickness")
 
 
+# ---- the write path as a whole, index builds, reviews
+
+_INGEST_SQL = r"""
+, gate AS (SELECT *, CASE WHEN content IS NULL THEN 'malformed_node' WHEN trim(content) = '' THEN 'empty_content' WHEN regexp_matches(content, 'sk-[A-Za-z0-9]{16,}') THEN 'secret' ELSE 'ok' END AS bad FROM req),
+act AS (SELECT *, CASE WHEN bad <> 'ok' OR length(trim(content)) > 3000 THEN 'rejected' WHEN lower(trim(coalesce(dedupe, ''))) = 'reject' AND dedupe_target IS NOT NULL THEN 'duplicate' WHEN lower(trim(coalesce(dedupe, ''))) = 'merge' AND dedupe_target IS NOT NULL THEN 'merged' ELSE 'stored' END AS action,
+  CASE WHEN coalesce(nullif(trim(type), ''), 'memory') IN ('memory', 'task', 'plan') THEN coalesce(epoch_us(event_time) / 1e6, 1790000000.0) END AS valid FROM gate),
+new AS (SELECT request_id, (SELECT max(id) FROM cur) + row_number() OVER (ORDER BY request_id) AS id FROM act WHERE action = 'stored')
+"""
+
+
+@R.add(_INGEST_SQL + "SELECT a.request_id, action, CASE WHEN action = 'stored' THEN n.id WHEN action <> 'rejected' THEN dedupe_target END AS node_id, CASE WHEN bad = 'ok' AND action = 'rejected' THEN 'too_long' ELSE bad END AS issue, coalesce(importance, 0.5) AS importance, coalesce(nullif(lower(trim(domain)), ''), 'general') AS domain, valid AS valid_at FROM act a LEFT JOIN new n USING (request_id)")
+def r39_ingest(spark: SparkSession, d: str) -> DataFrame:
+    return W.ingested(S.requests(spark, d), S.nodes(spark, d), now=NOW, most=3_000)[0]
+
+
+@R.add(_INGEST_SQL + r""", named AS (SELECT a.request_id, n.id AS nid, valid, TRY_CAST(unnest(regexp_extract_all(coalesce(replaces, ''), '\d+')) AS BIGINT) AS id FROM act a JOIN new n USING (request_id)) SELECT id, arg_min(nid, request_id) AS "by", coalesce(arg_min(struct_pack(v := valid), request_id).v, 1790000000.0) AS invalid_at FROM named WHERE id IN (SELECT id FROM cur) GROUP BY id""")
+def r39_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes that a batch of ingest statements makes outdated."""
+    return W.ingested(S.requests(spark, d), S.nodes(spark, d), now=NOW, most=3_000)[1]
+
+
+_OLD_INDEX = ", old AS (SELECT node_id AS path, min(updated_at) AS mtime FROM node_chunks WHERE node_id % 7 <> 0 GROUP BY 1), new AS (SELECT node_id AS path, max(updated_at) AS mtime FROM node_chunks WHERE node_id % 5 <> 0 GROUP BY 1)"
+
+
+@R.add(_OLD_INDEX + " SELECT path, action FROM (SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'orphan' WHEN n.path % 11 = 0 THEN CASE WHEN o.path IS NOT NULL THEN 'retire' END WHEN o.path IS NULL THEN 'insert' WHEN abs(o.mtime - n.mtime) <= 1 THEN 'skip' ELSE 'update' END AS action FROM old o FULL JOIN new n ON o.path = n.path) WHERE action IS NOT NULL")
+def s11_index_plan(spark: SparkSession, d: str) -> DataFrame:
+    """What an index build does with each file: nodes stand for files, their oldest and newest chunks for what is indexed and what is there."""
+    c = table(spark, d, "node_chunks").select(F.col("node_id").alias("path"), "updated_at")
+    old = c.where("path % 7 <> 0").groupBy("path").agg(F.min("updated_at").alias("mtime"))
+    new = c.where("path % 5 <> 0").groupBy("path").agg(F.max("updated_at").alias("mtime"))
+    return I.plan(old, new, retired=F.col("path") % 11 == 0)
+
+
+@R.add(""", m AS (SELECT node_id AS path, chunk_idx AS member, row_number() OVER (ORDER BY node_id, chunk_idx) AS id FROM ch WHERE chunk_idx % 3 <> 1), n AS (SELECT node_id AS path, chunk_idx AS member FROM ch WHERE chunk_idx % 4 <> 2),
+j AS (SELECT coalesce(m.path, n.path) AS path, coalesce(m.member, n.member) AS member, m.id, n.path IS NOT NULL AS new FROM (SELECT * FROM m WHERE path IN (SELECT path FROM n)) m FULL JOIN n ON m.path = n.path AND m.member = n.member)
+SELECT path, member, id, CASE WHEN new THEN 'update' ELSE 'delete' END AS action FROM j WHERE id IS NOT NULL UNION ALL SELECT path, member, (SELECT max(id) FROM m) + row_number() OVER (ORDER BY path, member), 'insert' FROM j WHERE id IS NULL""")
+def s11_upserted_members(spark: SparkSession, d: str) -> DataFrame:
+    """Members of files keep their ids when the files are built again."""
+    c = S.chunks(spark, d).select(F.col("node_id").alias("path"), F.col("chunk_idx").alias("member"))
+    old = global_place(c.where("member % 3 <> 1"), "path", "member", name="id")
+    return I.upserted_members(old, c.where("member % 4 <> 2"))
+
+
+@R.add("SELECT node_id, chunk_idx, CASE WHEN v.vector IS NULL OR len(v.vector) <> v.dim OR len(list_filter(v.vector, lambda x: x <> 0)) = 0 THEN 'missing' ELSE 'stale' END AS reason FROM ch WHERE trim(coalesce(v.chunk_text, '')) <> '' AND (reason = 'missing' OR coalesce(v.model, '') <> 'local:memvec-base') AND NOT (node_id % 10 = 0)")
+def r48_to_embed(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose vectors are still to be made for one model, after a run that broke off had done every tenth node."""
+    c = S.chunks(spark, d)
+    return I.to_embed(c, "local:memvec-base", c.where("node_id % 10 = 0"))
+
+
+@R.add(f", h AS (SELECT 1000 + id AS id, {_SIM} AS s FROM vec ORDER BY s DESC, id LIMIT 60) SELECT h.id, round(s, 6) AS score FROM h JOIN cur c ON c.id = h.id WHERE coalesce(c.type, '') <> 'kb_chunk' AND c.status <> 'outdated' ORDER BY s DESC, h.id LIMIT 8")
+def r12_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """Memories only, what is not outdated, the first in the order of the candidates."""
+    h = _hits(spark, d).orderBy(F.desc("score"), "id").limit(60).join(S.nodes(spark, d).select("id", "type", "status"), "id")
+    return h.where(E.in_scope(F.col("type"), "memory") & (F.col("status") != "outdated")).orderBy(F.desc("score"), "id").limit(8).select("id", F.round("score", 6).alias("score"))
+
+
+@R.add("SELECT 'stale' AS list, id FROM (SELECT id FROM cur WHERE status = 'active' AND created_at < 1770000000 ORDER BY id LIMIT 30) UNION ALL SELECT 'low', id FROM (SELECT id FROM cur WHERE importance < 0.4 ORDER BY id LIMIT 20) UNION ALL SELECT 'outdated', id FROM (SELECT id FROM cur WHERE status = 'outdated' ORDER BY id LIMIT 20) UNION ALL SELECT 'never_hit', id FROM (SELECT id FROM cur WHERE hit_count = 0 ORDER BY id LIMIT 20)")
+def o11_review_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The first nodes of each list of a review."""
+    n = S.nodes(spark, d)
+    st = F.col("status")
+    lists = (("stale", (st == "active") & (F.col("created_at") < 1_770_000_000), 30), ("low", F.col("importance") < 0.4, 20), ("outdated", st == "outdated", 20), ("never_hit", F.col("hit_count") == 0, 20))
+    parts = [n.where(c).select("id").orderBy("id").limit(k).select(F.lit(name).alias("list"), "id") for name, c, k in lists]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@R.add(_TASKS_SQL + r"SELECT id, NOT (contains(content, '未完成') OR contains(content, '进行中') OR contains(content, '待启动') OR contains(content, '计划中') OR contains(content, '等发布') OR contains(content, '待发布') OR contains(content, '未启动')) AND (regexp_matches(replace(content, '未已完成', ''), '已完成') OR regexp_matches(content, '完成】\s*$') OR regexp_matches(content, '^\s*【[^【\n]*完成')) OR status IN ('completed', 'done') AS finished FROM (SELECT id, status, CASE WHEN note THEN '【全部完成】' ELSE '' END || content AS content FROM st)")
+def f25_finished(spark: SparkSession, d: str) -> DataFrame:
+    t = _tasks(spark, d).withColumn("content", F.concat(F.when(F.col("kind") == "handoff", "【全部完成】").otherwise(""), "content"))
+    return t.select("id", K.finished(F.col("status"), F.col("content")).alias("finished"))
+
+
 QUERIES, SQL = R.queries, R.sql

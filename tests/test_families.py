@@ -9,6 +9,7 @@ from marlstone.functions import dates as D
 from marlstone.functions import expr as E
 from marlstone.functions import tasks as K
 from marlstone.operators import fulltext as T
+from marlstone.operators import indexing as I
 from marlstone.operators import retrieval as X
 from marlstone.operators import tql
 from marlstone.operators import writes as W
@@ -142,3 +143,24 @@ def test_dispatcher_states(spark):
     got, state = run(docs, "cascade")
     assert [r.id for r in got.collect()] == [2, 3, 1] and state == {"mode": "cascade", "text": "ok"}
     assert run(docs, "x")[1]["mode"] == "rrf" and run(None, "rrf")[1]["text"] == "degraded" and [r.id for r in run(None, "rrf")[0].collect()] == [1, 2, 3]
+
+
+def test_thoughts_sections_limits_and_finished(spark):
+    df = spark.createDataFrame([("a <thought> 1. did: x\n2、 next\nmore\n3.\n1. again\n9. no </thought> b <thought>z</thought>",), ("<thought>open",), (None,)], "t string")
+    got = df.select(E.thought(F.col("t")).alias("x")).select("x.*").collect()
+    assert [(r.found, r.segments, r.unclosed) for r in got] == [(True, 2, False), (False, 0, True), (False, 0, False)]
+    m = df.select(E.numbered_sections(E.thought(F.col("t"))["text"], ("done", "next", "risk")).alias("m")).collect()
+    assert m[0].m == {"done": "again", "next": "next\nmore"} and m[1].m == {} and m[2].m == {}
+    lim = spark.createDataFrame([("task:20000, Plan : 80000,bad,x:y",), ("",), (None,)], "t string")
+    assert [r.m for r in lim.select(E.limits(F.col("t")).alias("m")).collect()] == [{"task": 20000, "plan": 80000}, {}, {}]
+    f = spark.createDataFrame([("done", ""), ("active", "✅ 已完成"), ("active", "未已完成"), ("active", "预热已完成，待发布"), ("active", "【任务完成】 x"), ("active", None)], "s string, c string")
+    assert [r.f for r in f.select(K.finished(F.col("s"), F.col("c")).alias("f")).collect()] == [True, True, False, False, True, False]
+
+
+def test_index_plan_and_members(spark):
+    old = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", None), ("d", 1.0), ("r", 1.0)], "path string, mtime double")
+    new = spark.createDataFrame([("a", 1.5), ("b", 9.0), ("c", 1.0), ("e", 1.0), ("r", 1.0), ("q", 1.0)], "path string, mtime double")
+    plan = lambda **how: {r.path: r.action for r in I.plan(old, new, retired=F.col("path").isin("r", "q"), **how).collect()}
+    assert plan() == {"a": "skip", "b": "update", "c": "update", "d": "orphan", "e": "insert", "r": "retire"} and plan(full=True)["a"] == "update"
+    members = I.upserted_members(spark.createDataFrame([("a", 0, 5), ("a", 1, 6), ("z", 0, 9)], "path string, member int, id long"), spark.createDataFrame([("a", 0), ("a", 2), ("n", 0)], "path string, member int"))
+    assert {tuple(r) for r in members.collect()} == {("a", 0, 5, "update"), ("a", 1, 6, "delete"), ("a", 2, 10, "insert"), ("n", 0, 11, "insert")}
