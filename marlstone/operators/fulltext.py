@@ -49,33 +49,36 @@ def query_grams(query: Column, n: int = 3, most: int = MOST) -> Column:
     return even_sample(F.coalesce(F.flatten(F.transform(parts, of_part)), F.array().cast("array<string>")), most)
 
 
-def _lowered(docs: DataFrame) -> DataFrame:
-    """(id, c): the text in lower case, worked out once; explode keeps it from being put into every expression that uses it."""
-    return docs.select("id", F.explode(F.array(F.lower("content"))).alias("c"))
+def _times(text: Column, gram: str) -> Column:
+    """How often a gram stands in a text, overlaps counted. Where it cannot overlap itself that is what taking it out makes shorter."""
+    if any(gram.endswith(gram[:k]) for k in range(1, len(gram))):
+        return F.regexp_count(text, F.lit(f"(?={re.escape(gram)})"))
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(gram), F.lit("")))) / len(gram.encode())
+
+
+def _scored(docs: DataFrame, grams: list[str], n: int) -> DataFrame:
+    """(id, content, score) of docs that hold a gram, in two scans without a shuffle: one for the counts, one row, and one for the scores."""
+    d = docs.select("id", "content", F.explode(F.array(F.lower("content"))).alias("c"))  # explode keeps the lower case from being put into every expression that uses it
+    size = F.greatest(F.char_length("c") - (n - 1), F.lit(0))
+    held = [F.col("c").contains(g) for g in grams]
+    whole = d.agg(F.count("c").alias("n_docs"), F.avg(size).alias("mean_len"), F.array(*[F.count_if(h) for h in held]).alias("df"))
+    some, score = F.lit(False), F.lit(0.0)
+    for i, (g, h) in enumerate(zip(grams, held)):
+        tf, df = _times(F.col("c"), g), F.col("df")[i]
+        idf = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))
+        score = score + F.when(h, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("mean_len")))).otherwise(0.0)
+        some = some | h
+    return d.where(some).select("id", "content", "c", size.alias("dl")).join(F.broadcast(whole)).select("id", "content", score.alias("score"))
 
 
 def bm25(docs: DataFrame, grams: list[str], n: int) -> DataFrame:
-    """(id, score): BM25 of docs (id, content) for the grams of a query.
+    """(id, score): BM25 of docs (id, content) for the n-character grams of a query.
 
-    Texts without any of the grams end in the scan; the others are read once a
-    gram, in linear time. Counts of documents and their mean length come from
-    one aggregate over all documents. No grams give no rows.
+    Each text is read once a gram, in linear time; null texts count for
+    nothing. No grams give no rows.
     """
     grams = list(dict.fromkeys(g.lower() for g in grams))
-    size = lambda c: F.greatest(F.char_length(c) - (n - 1), F.lit(0))
-    whole = docs.agg(F.count("content").alias("n_docs"), F.avg(size(F.lower("content"))).alias("mean_len"))
-    d = _lowered(docs)
-    if not grams:
-        return d.select("id", F.lit(0.0).alias("score")).limit(0)
-    some = F.lit(False)
-    for g in grams:
-        some = some | F.col("c").contains(g)
-    times = [F.struct(F.lit(g).alias("gram"), F.regexp_count("c", F.lit(f"(?={re.escape(g)})")).alias("tf")) for g in grams]
-    hits = d.where(some).select("id", size(F.col("c")).alias("dl"), F.inline(F.array(*times))).where("tf > 0")
-    df = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))  # at most as many rows as the query has grams
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_len")))
-    return hits.join(F.broadcast(df), "gram").join(F.broadcast(whole)).groupBy("id").agg(F.sum(idf * weight).alias("score"))
+    return _scored(docs, grams, n).select("id", "score") if grams else docs.select("id", F.lit(0.0).alias("score")).limit(0)
 
 
 def bm25_stored(index: DataFrame, n_docs: int, mean_len: float, grams: list[str]) -> DataFrame:
@@ -103,8 +106,8 @@ def search(docs: DataFrame, query: str, limit: int) -> DataFrame:
     if way == "grams":
         one = docs.sparkSession.range(1).select(query_grams(F.lit(q)).alias("g")).first()
         if one["g"]:
-            best = bm25(docs, one["g"], 3).orderBy(F.desc("score"), "id").limit(limit)
-            return best.join(docs, "id").select("id", "score", F.lit("grams").alias("how"), F.substring("content", 1, SHOWN).alias("shown")).orderBy(F.desc("score"), "id")
+            best = _scored(docs, list(dict.fromkeys(one["g"])), 3).select("id", "score", F.substring("content", 1, SHOWN).alias("shown"))
+            return best.orderBy(F.desc("score"), "id").limit(limit).select("id", "score", F.lit("grams").alias("how"), "shown")
         way = "like"
     d = docs.select("id", F.col("content").alias("text"), F.explode(F.array(F.lower("content"))).alias("c"))
     if way == "phrase":

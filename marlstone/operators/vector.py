@@ -55,7 +55,7 @@ def similar_rows(rows: DataFrame, *, least: float, gate: str | None = None) -> D
 
     placed = good.mapInPandas(place, "cell int, home boolean, id bigint, gate bigint, v array<double>")
     sizes = placed.groupBy("gate", "cell").agg(F.ceil(F.count(F.lit(1)) / CELL_BLOCK).cast("int").alias("n"))  # at most PIVOTS rows a gate
-    cut_up = placed.join(sizes, ["gate", "cell"]).withColumn("block", F.pmod(F.hash("id"), F.col("n")))
+    cut_up = placed.join(sizes if gate else F.broadcast(sizes), ["gate", "cell"]).withColumn("block", F.pmod(F.hash("id"), F.col("n")))
     left = cut_up.where("home").select("gate", "cell", "id", "v", F.lit(True).alias("home"), F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("y"))
     right = cut_up.select("gate", "cell", "id", "v", F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x"), F.col("block").alias("y"))
 
