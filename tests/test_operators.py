@@ -13,7 +13,7 @@ from marlstone.operators import quality as Q
 from marlstone.operators import tql
 from marlstone.operators import vector as V
 from marlstone.operators.ranking import global_lead, global_place
-from marlstone.plans import hubs, relations
+from marlstone.plans import more, relations, scans
 from marlstone.sources import files
 
 
@@ -43,7 +43,7 @@ def test_components_of_a_long_chain(spark):
 def test_all_components_cover_every_label(spark, tmp_path):
     rows = [("a.md", "b.md", "CAUSES"), ("b.md", "c.md", "NEXT"), ("d.md", "e.md", "WIKI_LINK"), ("f.md", "e.md", "PART_OF"), ("g.md", "h.md", "CAUSES")]
     spark.createDataFrame([(*r, 1.0) for r in rows], "source string, target string, relation string, weight double").write.parquet(f"{tmp_path}/graph_edges.parquet")
-    got = {r.id: r.component for r in relations.QUERIES["g7_all_components"](spark, str(tmp_path)).collect()}
+    got = {r.id: r.component for r in relations.QUERIES["g7_components"](spark, str(tmp_path)).collect()}
     assert got == {**dict.fromkeys(("a.md", "b.md", "c.md"), "a.md"), **dict.fromkeys(("d.md", "e.md", "f.md"), "d.md"), **dict.fromkeys(("g.md", "h.md"), "g.md")}
 
 
@@ -68,19 +68,19 @@ def test_version_chain_has_no_cap(spark, monkeypatch):
 
 def test_text_and_pooling_queries_cover_all_rows(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, "好，", "zh"), (2, "good！", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {tuple(r) for r in relations.QUERIES["x_fold_all_punctuation"](spark, str(tmp_path)).collect()} == {(1, "好,"), (2, "good!")}
+    assert {tuple(r) for r in relations.QUERIES["x_fold_punctuation"](spark, str(tmp_path)).collect()} == {(1, "好,"), (2, "good!")}
     chunks = [(1, "ab", [3.0, 4.0], 2, "x"), (1, "cd", [0.0, 2.0, 0.0], 3, "y"), (2, "ef", [1.0, 0.0], 2, "x")]
     monkeypatch.setattr(relations.S, "chunks", lambda *a: spark.createDataFrame(chunks, "node_id long, chunk_text string, vector array<float>, dim int, model string"))
-    assert {tuple(r) for r in relations.QUERIES["x_pooled_models"](spark, "").collect()} == {(1, "x", 2, 0.6, 0.8), (1, "y", 3, 0.0, 0.0), (2, "x", 2, 1.0, 0.0)}
+    assert {tuple(r) for r in relations.QUERIES["x_pooled_vectors"](spark, "").collect()} == {(1, "x", 2, 0.6, 0.8), (1, "y", 3, 0.0, 0.0), (2, "x", 2, 1.0, 0.0)}
     monkeypatch.setattr(relations.S, "nodes", lambda *a: spark.createDataFrame([(1, "x" * 60 + ". " + "y" * 20 + " 3.5 " + "z" * 40), (2, "a 1.5 b")], "id long, content string"))
-    assert {tuple(r) for r in relations.QUERIES["x_all_excerpts"](spark, "").collect()} == {(1, "x" * 60 + "."), (2, "a 1.5 b")}
+    assert {tuple(r) for r in relations.QUERIES["x_excerpt"](spark, "").collect()} == {(1, "x" * 60 + "."), (2, "a 1.5 b")}
 
 
 def test_mentions_of_names_of_any_script(spark, monkeypatch):
     names = ["李明", "Zoë", "Al", "Mary Ann", "x"]
     texts = ["今天李明来了", "with ZOË", "halted", "mary ann, x", "y"]
     monkeypatch.setattr(relations.S, "nodes", lambda *a: spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(zip(texts, names))], "id long, content string, character_name string"))
-    got = {tuple(r) for r in relations.QUERIES["j14_all_mentions"](spark, "").collect()}
+    got = {tuple(r) for r in relations.QUERIES["j14_mentions"](spark, "").collect()}
     assert got == {(0, "李明"), (1, "zoë"), (2, "al"), (3, "mary ann")}
 
 
@@ -88,7 +88,7 @@ def test_walks_from_the_hub_reach_the_end(spark, tmp_path):
     chain = [f"p{i:02}.md" for i in range(12)]
     rows = [*zip(chain, chain[1:]), ("p00.md", "q.md"), ("p03.md", "index/home.md")]
     spark.createDataFrame([(a, b, "NEXT", 1.0) for a, b in rows], "source string, target string, relation string, weight double").write.parquet(f"{tmp_path}/graph_edges.parquet")
-    got = {n: hubs.QUERIES[n](spark, str(tmp_path)).collect() for n in ("g10_hub_paths", "s5_hub_edges_out", "g15_hub_scores")}
+    got = {n: q(spark, str(tmp_path)).collect() for n, q in (("g10_hub_paths", relations.g10_shortest_paths), ("s5_hub_edges_out", scans.s5_edges_out), ("g15_hub_scores", more.g15_passed_scores))}
     assert {r.id: r.hops for r in got["g10_hub_paths"]} == {**{p: i for i, p in enumerate(chain)}, "q.md": 1, "index/home.md": 4}
     assert {r.dst for r in got["s5_hub_edges_out"]} == {"p01.md", "q.md"} and {r.id for r in got["g15_hub_scores"]} == {"p02.md"}
 
