@@ -49,7 +49,7 @@ def test_trees_dags_and_circles(spark):
     assert run(spark, links) == brute([x for x in links if None not in x])
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=14))
 def test_any_graph(spark, pairs):
     links = [(str(a), str(b)) for a, b in pairs]
