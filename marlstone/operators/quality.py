@@ -23,13 +23,20 @@ def per_query(results: DataFrame, gold: DataFrame, k: int) -> DataFrame:
 def auc(scores: DataFrame) -> DataFrame:
     """(auc): the share of (positive, negative) pairs in the right order, ties a half. scores: score, label BOOLEAN; nulls drop out; null without either side.
 
-    From counts per distinct score and a running sum over them, not from pairs.
+    From counts per distinct score and a running sum over them, not from pairs:
+    scores are range-partitioned, summed up inside their partition and moved on
+    by the sums of the partitions before.
     """
     from pyspark.sql import Window
 
+    from marlstone.runtime import cut
+
     per = scores.where("score is not null").groupBy("score").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    w = per.withColumn("below", below).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    parts = cut(per.repartitionByRange("score").withColumn("_p", F.spark_partition_id()))
+    earlier = lambda w: F.coalesce(F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = parts.groupBy("_p").agg(F.sum("neg").alias("neg")).select("_p", earlier(Window.orderBy("_p")).alias("_before"))  # one row a partition
+    below = parts.withColumn("_in", earlier(Window.partitionBy("_p").orderBy("score"))).join(F.broadcast(before), "_p").withColumn("below", F.col("_before") + F.col("_in"))
+    w = below.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return w.select(F.round(F.when(F.col("p") * F.col("n") > 0, F.col("u") / (F.col("p") * F.col("n"))), 6).alias("auc"))
 
 

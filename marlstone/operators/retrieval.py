@@ -31,9 +31,9 @@ def cascade(first: DataFrame, second: DataFrame, limit: int) -> DataFrame:
 
 def min_max(hits: DataFrame) -> DataFrame:
     """Scores of one channel brought to 0..1; if all are equal, 1 where positive."""
-    w = Window.partitionBy()
-    lo, hi = F.min("score").over(w), F.max("score").over(w)
-    return hits.withColumn("score", F.when(hi == lo, F.when(hi > 0, 1.0).otherwise(0.0)).otherwise((F.col("score") - lo) / (hi - lo)))
+    ends = hits.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))  # one row
+    lo, hi = F.col("_lo"), F.col("_hi")
+    return hits.join(F.broadcast(ends)).withColumn("score", F.when(hi == lo, F.when(hi > 0, 1.0).otherwise(0.0)).otherwise((F.col("score") - lo) / (hi - lo))).drop("_lo", "_hi")
 
 
 def best_chunk(chunks: DataFrame, query: list[float], model: str) -> DataFrame:
