@@ -109,3 +109,35 @@ def test_gram_numbers_are_exact(alphabet):
     s, t = N._gram_numbers(x, y, 5)
     gs, gt = ({z[i : i + 5] for i in range(len(z) - 4)} for z in (x, y))
     assert (len(s), len(t), len(set(s.tolist()) & set(t.tolist()))) == (len(gs), len(gt), len(gs & gt))
+
+
+def overlapping(rows, least=0.7):
+    grams = [{t[i : i + 5] for i in range(len(t) - 4)} for _, t in rows]
+    return {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i + 1, len(rows)) if len(grams[i] & grams[j]) >= least * len(grams[i] | grams[j])}
+
+
+def test_pairs_that_agree_in_nothing_but_one_hot_segment(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    first = [[rng.choice(words) for _ in range(19)] for _ in range(12_000)]
+    second = [[*t[:6], rng.choice(words), *t[7:13], rng.choice(words), *t[14:]] for t in first]
+    x, y = ([" ".join(t) for t in side] for side in (first, second))
+    once = ((N.codes(x, 5)[0] == N.codes(y, 5)[0]).sum(axis=1) == 1).nonzero()[0]
+    rows = [(k, t) for k, t in enumerate(t for i in once for t in (x[i], y[i]))]
+    want = overlapping(rows)
+    assert len(want) >= 5
+    got = {(r.rep_a, r.rep_b) for r in N.similar_classes(spark.createDataFrame(rows, "rep bigint, text string"), hot=1).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [16, 2_048])
+def test_hot_segments_are_compared_in_full(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    stock = [" ".join(rng.choice(words) for _ in range(n)) for n in (60, 25, 300)]
+    rows = [(i, f"{stock[i % 3]} {' '.join(rng.choice(words) for _ in range(rng.randrange(5, 60)))}") for i in range(300)]
+    want = overlapping(rows)
+    assert 1_000 < len(want) < 30_000
+    got = [(r.rep_a, r.rep_b) for r in N.similar_classes(spark.createDataFrame(rows, "rep bigint, text string"), hot=4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
